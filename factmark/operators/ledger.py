@@ -171,7 +171,7 @@ def ledger_provenance(trials: DataFrame, runs: DataFrame, as_of: str) -> DataFra
     counted = trials.groupBy("dataset_id").agg(
         F.count(F.lit(1)).alias("n_trials"), F.min("started_at").alias("first_trial"))
     run_counts = runs.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_runs"))
-    age = (F.unix_micros(now) - F.unix_micros("first_trial")) / 86_400e6
+    age = (F.unix_micros(now) - F.unix_micros(F.col("first_trial").cast("timestamp"))) / 86_400e6
     return counted.join(run_counts, "dataset_id", "left").select(
         "dataset_id", "n_trials", F.coalesce("n_runs", F.lit(0)).alias("n_runs"),
         age.alias("age_days"))

@@ -1,3 +1,3 @@
 """All registered queries: importing a module registers what it defines."""
-from . import fact_queries  # noqa: F401
+from . import fact_queries, price_queries, search_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
