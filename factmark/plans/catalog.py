@@ -1,3 +1,4 @@
 """All registered queries: importing a module registers what it defines."""
-from . import fact_queries, price_queries, search_queries  # noqa: F401
+from . import (  # noqa: F401
+    cost_queries, fact_queries, price_queries, search_queries, source_queries)
 from .registry import ORACLES, QUERIES  # noqa: F401
