@@ -6,21 +6,28 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .normal import norm_cdf, norm_ppf
+from .normal import let, norm_cdf, norm_ppfs
 
 EULER_MASCHERONI = 0.5772156649015329
 # An absolute per-period Sharpe above this is an annualised figure by mistake.
 PLAUSIBLE_PER_PERIOD_SHARPE = 1.0
 
 
-def expected_max_sharpe(n_trials: Column, var_trials: Column, mean_trials=0.0) -> Column:
-    """Expected best Sharpe of ``n_trials`` draws; the mean itself when there is one."""
+def unit_expected_max(n_trials: Column) -> Column:
+    """Expected best of ``n_trials`` standard normal draws; zero when there is one."""
     n = n_trials.cast("double")
-    mean = mean_trials if isinstance(mean_trials, Column) else F.lit(float(mean_trials))
-    spread = ((1.0 - EULER_MASCHERONI) * norm_ppf(1.0 - 1.0 / n)
-              + EULER_MASCHERONI * norm_ppf(1.0 - math.exp(-1.0) / n))
-    return (F.when(n == 1, mean)
-            .when((n > 0) & (var_trials >= 0), mean + F.sqrt(var_trials) * spread))
+    tails = norm_ppfs(1.0 - 1.0 / n, 1.0 - math.exp(-1.0) / n)
+    spread = let(tails, lambda z: (1.0 - EULER_MASCHERONI) * z[0] + EULER_MASCHERONI * z[1])
+    return F.when(n == 1, 0.0).when(n > 0, spread)
+
+
+def expected_max_sharpe(n_trials: Column, var_trials: Column, mean_trials: float = 0.0) -> Column:
+    """Expected best Sharpe of ``n_trials`` draws; the mean itself when there is one."""
+    return scaled_expected_max(unit_expected_max(n_trials), var_trials, mean_trials)
+
+
+def scaled_expected_max(unit: Column, var_trials: Column, mean_trials: float = 0.0) -> Column:
+    return F.when(var_trials >= 0, unit * F.sqrt(var_trials) + mean_trials)
 
 
 def deflated_sharpe(observed: Column, n_trials: Column, sample_length: Column,
@@ -30,18 +37,28 @@ def deflated_sharpe(observed: Column, n_trials: Column, sample_length: Column,
     ``kurtosis`` is not excess. NULL wherever the published formula is undefined
     or the Sharpe is implausible as a per-period figure.
     """
+    return deflated_against(observed, expected_max_sharpe(n_trials, var_trials), sample_length,
+                            skewness, kurtosis)
+
+
+def deflated_against(observed: Column, bar: Column, sample_length: Column,
+                     skewness: Column, kurtosis: Column) -> Column:
+    """``deflated_sharpe`` given the expected maximum already at hand."""
     adjust = 1.0 - skewness * observed + (kurtosis - 1.0) / 4.0 * observed * observed
-    z = ((observed - expected_max_sharpe(n_trials, var_trials))
-         * F.sqrt(sample_length.cast("double") - 1.0) / F.sqrt(adjust))
     usable = ((F.abs(observed) <= PLAUSIBLE_PER_PERIOD_SHARPE)
               & (sample_length > 1) & (adjust > 0))
-    return F.when(usable, norm_cdf(z))
+    z = F.when(usable, (observed - bar) * F.sqrt(sample_length.cast("double") - 1.0)
+               / F.sqrt(adjust))
+    return norm_cdf(z)
 
 
 def min_backtest_length(observed: Column, n_trials: Column) -> Column:
     """Periods needed before ``observed`` stops being explainable by search size."""
-    unit = expected_max_sharpe(n_trials, F.lit(1.0))
-    return F.when(observed > 0, F.pow(unit / observed, F.lit(2.0)))
+    return length_against(observed, unit_expected_max(n_trials))
+
+
+def length_against(observed: Column, unit: Column) -> Column:
+    return F.when(observed > 0, (unit / observed) * (unit / observed))
 
 
 def verdict(deflated: Column, sample_length: Column, min_length: Column,

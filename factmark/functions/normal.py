@@ -58,10 +58,10 @@ def let(x: Column, body) -> Column:
 
 
 def _horner(x: Column, coefficients: tuple) -> Column:
-    total = F.lit(coefficients[0])
-    for c in coefficients[1:]:
-        total = total * x + F.lit(c)
-    return total
+    total = x * coefficients[0]
+    for c in coefficients[1:-1]:
+        total = (total + c) * x
+    return total + coefficients[-1]
 
 
 def erf(x: Column) -> Column:
@@ -94,6 +94,11 @@ def norm_ppf(p: Column) -> Column:
     return let(p, _ppf_body)
 
 
+def norm_ppfs(*ps: Column) -> Column:
+    """Quantiles of several columns as one array, sharing one copy of the formula."""
+    return F.transform(F.array(*ps), _ppf_body)
+
+
 def _ppf_body(p: Column) -> Column:
     q = p - 0.5
     near = 0.180625 - q * q

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..errors import LookAheadContamination, PointInTimeError, ResearchError
 from .ordering import one_row
+from .skew import HOT_ROWS, join_summary
 
 KEY = ["entity_id", "field", "effective_date"]
 
@@ -88,8 +89,8 @@ def restatements(facts: DataFrame) -> DataFrame:
 def _report_order() -> Column:
     """Ties on the knowledge date go to the earlier version, then the lower value.
 
-    Ordinals inside a version follow the value too (``sources.versions``), so this
-    is the (knowledge, version, ordinal) order without carrying the ordinal.
+    Both are properties of the data, so the choice does not depend on how a load was
+    partitioned the way a row ordinal would.
     """
     return F.struct("knowledge_date", "version_number", "value")
 
@@ -150,30 +151,35 @@ def honest_and_hindsight(facts: DataFrame, field: str, known_by) -> DataFrame:
 # --- restatement marking ---------------------------------------------------------
 
 def restatement_baseline(batch: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """The value each incoming period is compared with: stored first, else first in batch."""
+    """The value each incoming period is compared with: stored first, else first in batch.
+
+    ``n_incoming`` counts the batch rows behind each period.
+    """
     in_batch = batch.groupBy(*KEY).agg(
-        F.min(F.struct("knowledge_date", "value")).getField("value").alias("batch_value"))
+        F.min(F.struct("knowledge_date", "value")).getField("value").alias("batch_value"),
+        F.count(F.lit(1)).alias("n_incoming"))
     if stored is None:
         return in_batch.select(*KEY, F.col("batch_value").alias("baseline"),
-                               F.lit(False).alias("already_stored"))
+                               F.lit(False).alias("already_stored"), "n_incoming")
     index = first_reports(stored).select(*KEY, F.col("value").alias("stored_value"),
                                          F.lit(True).alias("already_stored"))
     return in_batch.join(index, KEY, "left").select(
         *KEY, F.coalesce("stored_value", "batch_value").alias("baseline"),
-        F.coalesce("already_stored", F.lit(False)).alias("already_stored"))
+        F.coalesce("already_stored", F.lit(False)).alias("already_stored"), "n_incoming")
 
 
-def mark_restatements(batch: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+def mark_restatements(batch: DataFrame, stored: DataFrame | None = None,
+                      hot_rows: int = HOT_ROWS) -> DataFrame:
     """Flag rows whose value differs from the one first known for their period.
 
-    A flag already present on the input wins. The baseline has one row per key, so
-    the join splits a hot key (AQE skew join) where a window would gather it.
+    A flag already present on the input wins. The baseline has one row per period, so
+    a period repeated across a third of the batch is joined map-side, not gathered.
     """
-    base = restatement_baseline(batch, stored).select(*KEY, "baseline")
+    base = restatement_baseline(batch, stored).select(*KEY, "baseline", "n_incoming")
     revised = F.col("baseline").isNotNull() & ~F.col("value").eqNullSafe(F.col("baseline"))
     given = F.col("is_restatement") if "is_restatement" in batch.columns else F.lit(None)
     rest = [c for c in batch.columns if c not in (*KEY, "is_restatement")]
-    return batch.join(base, KEY).select(
+    return join_summary(batch, base, KEY, "n_incoming", hot_rows).select(
         *KEY, *rest, F.coalesce(given.cast("boolean"), revised).alias("is_restatement"))
 
 

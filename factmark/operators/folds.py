@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import LeakageError, ResearchError
 from .ordering import fold_of, with_position
+from .skew import join_summary
 
 
 def index_labels(labels: DataFrame, order: list[str]) -> DataFrame:
@@ -41,7 +42,7 @@ def _assigned(labels: DataFrame, n_splits: int) -> DataFrame:
     if n_splits < 2:
         raise ResearchError("n_splits must be at least 2")
     sizes = labels.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
-    return labels.join(sizes, "series_id").withColumn(
+    return join_summary(labels, sizes, ["series_id"], "n").withColumn(
         "own_fold", fold_of(F.col("idx"), F.col("n"), n_splits))
 
 
@@ -65,8 +66,8 @@ def fold_bounds(labels: DataFrame, n_splits: int = 5, embargo_pct: float = 0.01)
 
 def purged_folds(labels: DataFrame, n_splits: int = 5, embargo_pct: float = 0.01) -> DataFrame:
     """(series_id, fold, idx, role) with role test, purged, embargoed or train."""
-    rows = (labels.join(fold_bounds(labels, n_splits, embargo_pct), "series_id")
-            .withColumn("f", F.explode("folds")))
+    bounds = fold_bounds(labels, n_splits, embargo_pct)
+    rows = join_summary(labels, bounds, ["series_id"], "n").withColumn("f", F.explode("folds"))
     own = fold_of(F.col("idx"), F.col("n"), n_splits)
     overlaps = (F.col("t0") <= F.col("f.test_end")) & (F.col("t1") >= F.col("f.test_start"))
     embargoed = F.col("idx").between(F.col("f.last_idx") + 1, F.col("f.embargo_end"))
@@ -102,9 +103,11 @@ def leakage(split: DataFrame, labels: DataFrame) -> DataFrame:
     ``split`` is (series_id, fold, idx, role). One row per leaking fold.
     """
     rows = split.where(F.col("role").isin("train", "test")).join(labels, ["series_id", "idx"])
-    windows = (rows.where(F.col("role") == "test").groupBy("series_id", "fold")
-               .agg(F.min("t0").alias("test_start"), F.max("t1").alias("test_end")))
-    return (rows.where(F.col("role") == "train").join(windows, ["series_id", "fold"])
+    test = F.col("role") == "test"
+    windows = rows.groupBy("series_id", "fold").agg(
+        F.min(F.when(test, F.col("t0"))).alias("test_start"),
+        F.max(F.when(test, F.col("t1"))).alias("test_end"), F.count(F.lit(1)).alias("n"))
+    return (join_summary(rows.where(~test), windows, ["series_id", "fold"], "n")
             .where((F.col("t0") <= F.col("test_end")) & (F.col("t1") >= F.col("test_start")))
             .groupBy("series_id", "fold")
             .agg(F.count(F.lit(1)).alias("leaking_rows"), F.min("idx").alias("first_idx")))

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import HoldoutViolation
-from ..functions.deflation import (deflated_sharpe, expected_max_sharpe, min_backtest_length,
-                                   plausible_per_period, verdict)
+from ..functions.deflation import (deflated_against, length_against, plausible_per_period,
+                                   scaled_expected_max, unit_expected_max, verdict)
 
 CAUTION_FROM, EXHAUSTED_FROM = 2, 4
 
@@ -32,18 +32,22 @@ def deflation_inputs(trials: DataFrame, by: str = "dataset_id") -> DataFrame:
 
 
 def deflated_results(results: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """Deflate rows of (observed_sharpe, n_trials, sample_length, skew, kurtosis, var_trials)."""
-    observed, n, length = (F.col(c) for c in ("observed_sharpe", "n_trials", "sample_length"))
-    searched = F.col("var_trials") > 0
-    out = results.withColumn(
-        "expected_max_sharpe", F.when(searched, expected_max_sharpe(n, F.col("var_trials")))
-    ).withColumn("deflated_sharpe", F.when(searched, deflated_sharpe(
-        observed, n, length, F.col("skew"), F.col("kurtosis"), F.col("var_trials")))
-    ).withColumn("min_backtest_length", min_backtest_length(observed, n))
-    return (out.withColumn("sample_too_short",
-                           F.coalesce(length < F.col("min_backtest_length"), F.lit(False)))
-            .withColumn("significant", verdict(F.col("deflated_sharpe"), length,
-                                               F.col("min_backtest_length"), threshold)))
+    """Deflate rows of (observed_sharpe, n_trials, sample_length, skew, kurtosis, var_trials).
+
+    Nothing is deflated where the variance across trials is unknown or zero.
+    """
+    observed, length = F.col("observed_sharpe"), F.col("sample_length")
+    searched = F.when(F.col("var_trials") > 0, F.col("var_trials"))
+    out = (results.withColumn("_unit", unit_expected_max(F.col("n_trials")))
+           .withColumns({"expected_max_sharpe": scaled_expected_max(F.col("_unit"), searched),
+                         "min_backtest_length": length_against(observed, F.col("_unit"))}))
+    short = F.coalesce(length < F.col("min_backtest_length"), F.lit(False))
+    out = out.withColumns({
+        "deflated_sharpe": deflated_against(observed, F.col("expected_max_sharpe"), length,
+                                            F.col("skew"), F.col("kurtosis")),
+        "sample_too_short": short})
+    return out.withColumn("significant", verdict(
+        F.col("deflated_sharpe"), length, F.col("min_backtest_length"), threshold)).drop("_unit")
 
 
 def implausible_sharpes(trials: DataFrame) -> DataFrame:

@@ -7,8 +7,6 @@ adds per-(task, group) offsets afterwards.
 """
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,22 +15,26 @@ from ..session import checkpoint_root
 
 
 def with_position(df: DataFrame, order: list[str], group: list[str] = (),
-                  position: str = "position", size: str | None = None) -> DataFrame:
+                  position: str = "position", size: str | None = None,
+                  weight: str | None = None) -> DataFrame:
     """Add the 0-based rank of each row inside its group; optionally the group size.
 
-    ``order`` should identify a row inside its group, or equal rows are ranked
-    arbitrarily. The sorted rows are checkpointed because range bounds are sampled:
-    the offsets and the rows must come from the same materialised layout.
+    ``order`` should identify a row inside its group: equal rows are ranked arbitrarily
+    and cannot be spread over tasks. Where copies abound, aggregate them first and give
+    their count as ``weight``: the position is then that of the first copy.
+    The sorted rows are checkpointed because range bounds are sampled: offsets and rows
+    must come from the same materialised layout.
     """
     checkpoint_root(df.sparkSession)
     group = list(group)
     keys = group + list(order)
+    heavy = F.col(weight) if weight else F.lit(1)
     laid_out = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
                 .withColumn("_task", F.spark_partition_id())
                 .withColumn("_row", F.monotonically_increasing_id())
                 .checkpoint())
     pieces = laid_out.groupBy("_task", *group).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+        F.sum(heavy).alias("_n"), F.min("_row").alias("_first"))
     # One row per (task, group): at most #tasks rows for any one group, so this
     # window is small even where the group itself is not.
     whole = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
@@ -41,39 +43,42 @@ def with_position(df: DataFrame, order: list[str], group: list[str] = (),
         "_task", *group, "_first",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
         F.sum("_n").over(whole).alias("_size"))
-    out = laid_out.join(offsets, ["_task", *group])
+    inside = F.col("_row") - F.col("_first")
+    out = laid_out
+    if weight:
+        piece = (W.partitionBy("_task", *group).orderBy("_row")
+                 .rowsBetween(W.unboundedPreceding, -1))
+        out = out.withColumn("_inside", F.coalesce(F.sum(weight).over(piece), F.lit(0)))
+        inside = F.col("_inside")
     columns = [F.col(c) for c in df.columns]
-    columns.append((F.col("_before") + F.col("_row") - F.col("_first")).alias(position))
+    columns.append((F.col("_before") + inside).alias(position))
     if size:
         columns.append(F.col("_size").alias(size))
-    return out.select(*columns)
+    return out.join(offsets, ["_task", *group]).select(*columns)
 
 
 def exact_quantiles(df: DataFrame, value: str, probabilities: list[float],
                     group: list[str] = ()) -> DataFrame:
     """Linearly interpolated quantiles, exact at any size: (group, probability, quantile).
 
-    Only the two rows around each requested rank survive the sort, so no task
-    holds a group's values the way an exact percentile aggregate would.
+    Values are counted first, so one value repeated across a third of the rows is one
+    row with a weight. Only the values around each requested rank survive the sort; no
+    task holds a group's values the way an exact percentile aggregate would.
     """
     group = list(group)
-    ranked = with_position(df.where(F.col(value).isNotNull()).select(*group, value),
-                           [value], group, "_pos", "_n")
-    wanted = F.explode(F.array(*[
-        F.struct(F.lit(float(p)).alias("probability"),
-                 (F.lit(float(p)) * (F.col("_n") - 1)).alias("_at")) for p in probabilities]))
-    at_any = functools.reduce(lambda a, b: a | b, [
-        F.col("_pos").between(F.floor(F.lit(float(p)) * (F.col("_n") - 1)),
-                              F.ceil(F.lit(float(p)) * (F.col("_n") - 1)))
-        for p in probabilities])
-    near = (ranked.where(at_any).select("*", wanted.alias("_w"))
-            .select(*group, value, "_pos", "_w.probability", "_w._at")
-            .where(F.col("_pos").between(F.floor("_at"), F.ceil("_at"))))
-    low = F.min_by(value, "_pos")
-    high = F.max_by(value, "_pos")
-    part = F.max(F.col("_at") - F.floor("_at"))
-    return near.groupBy(*group, "probability").agg(
-        (low + (high - low) * part).alias("quantile"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(
+        F.count(F.lit(1)).alias("_copies"))
+    placed = with_position(counts, [value], group, "_at", "_n", "_copies")
+    rank = F.col("p") * (F.col("_n") - 1)
+    covers = lambda r: r.between(F.col("_at"), F.col("_at") + F.col("_copies") - 1)
+    near = placed.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+    low, high = covers(F.floor(rank)), covers(F.ceil(rank))
+    ends = near.where(low | high).groupBy(*group, F.col("p").alias("probability")).agg(
+        F.max(F.when(low, F.col(value))).alias("_low"),
+        F.max(F.when(high, F.col(value))).alias("_high"),
+        F.max(rank - F.floor(rank)).alias("_part"))
+    return ends.select(*group, "probability", (
+        F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("quantile"))
 
 
 def one_row(df: DataFrame) -> Column:

@@ -1,0 +1,36 @@
+"""Joining rows with a per-key summary when one key may hold a third of the rows.
+
+Runtime skew handling does not split such a join: its summary side is an aggregate on
+the join key, not a plain shuffle. The summary already counts each key's rows, so the
+few keys too large for one task are known, and their number is bounded by the data:
+at most (rows / HOT_ROWS).
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# A key with more rows than this is joined map-side. Of 10^12 rows at most 250,000 keys
+# can be that large, a few tens of megabytes of summary rows to broadcast.
+HOT_ROWS = 4_000_000
+
+
+def join_summary(rows: DataFrame, summary: DataFrame, keys: list[str], count: str,
+                 hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of ``rows`` with ``summary`` (one row per key, ``count`` rows behind it).
+
+    Hot keys meet a broadcast of their summaries where the rows already are; their rows
+    then take a salt that matches nothing, so the shuffle join spreads them instead of
+    gathering them.
+    """
+    extra = [c for c in summary.columns if c not in keys]
+    packed = summary.select(*keys, F.struct(*extra).alias("_s"), F.col(count).alias("_c"))
+    hot = packed.where(F.col("_c") > hot_rows).select(*keys, F.col("_s").alias("_hot"))
+    cold = packed.where(F.col("_c") <= hot_rows).select(
+        *keys, F.col("_s").alias("_cold"), F.lit(0).alias("_salt"))
+    tagged = rows.join(F.broadcast(hot), keys, "left")
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.spark_partition_id())
+    both = tagged.withColumn("_salt", salt).join(cold, [*keys, "_salt"], "left")
+    found = F.coalesce("_hot", "_cold")
+    return (both.withColumn("_s", found).where(F.col("_s").isNotNull())
+            .select(*rows.columns, *[F.col("_s")[c].alias(c) for c in extra]))

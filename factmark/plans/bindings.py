@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.bitemporal import mark_restatements
 from ..operators.folds import index_labels
+from ..operators.skew import join_summary
 from ..operators.validation import split_facts
 
 
@@ -279,8 +280,9 @@ bets AS (
 
 def bets(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_type", "value")
-    means = events.groupBy("event_type").agg(F.avg("value").alias("mean"))
-    return events.join(means, "event_type").select(
+    means = events.groupBy("event_type").agg(F.avg("value").alias("mean"),
+                                             F.count(F.lit(1)).alias("n"))
+    return join_summary(events, means, ["event_type"], "n").select(
         F.col("event_type").alias("strategy"), (F.col("value") > F.col("mean")).alias("win"),
         F.abs(F.col("value") - F.col("mean")).alias("amount"))
 

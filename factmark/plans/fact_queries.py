@@ -67,8 +67,8 @@ def mark_restatements(spark, sf_dir):
 
 
 @query(f"""WITH {b.MARKED_SQL}
-SELECT DISTINCT entity_id, field, effective_date, baseline, already_stored
-FROM marked WHERE version_number = 2""")
+SELECT entity_id, field, effective_date, baseline, already_stored, count(*) AS n_incoming
+FROM marked WHERE version_number = 2 GROUP BY ALL""")
 def restatement_index(spark, sf_dir):
     """The join of an incoming load with the first values already stored."""
     stored, batch = b.loads(spark, sf_dir)

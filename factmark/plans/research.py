@@ -11,6 +11,10 @@ from ..operators.folds import leakage_report
 from ..sources import versions as store
 
 
+# Significant digits a replayed search must reproduce.
+REPLAY_DIGITS = 10
+
+
 def returns_of(panel: DataFrame) -> DataFrame:
     return factors.simple_returns(panel).where(F.col("ret").isNotNull()).select(
         "entity_id", "effective_date", "ret")
@@ -150,7 +154,7 @@ def gated_search(spark: SparkSession, root: str, dataset_id: str, field: str,
     panel = series(store.read_facts(spark, root, dataset_id), field, known_by, end=end)
     version = admit(spark, root, dataset_id, datasets, periods, panel)
     result = counted_sweep(returns_of(panel), params, ledger_path, search_id)
-    log = fingerprint.fingerprint(result).withColumns({
+    log = fingerprint.fingerprint(result, digits=REPLAY_DIGITS).withColumns({
         "run_id": F.lit(search_id), "dataset_version": F.lit(version),
         "started_at": F.current_timestamp()})
     log.write.mode("append").parquet(f"{ledger_path}/runs")
@@ -164,5 +168,5 @@ def replay_search(spark: SparkSession, root: str, dataset_id: str, field: str, l
     panel = series(store.read_facts(spark, root, dataset_id), field, known_by, end=end)
     again = counted_sweep(returns_of(panel), params, scratch, search_id)
     recorded = spark.read.parquet(f"{ledger_path}/runs").where(F.col("run_id") == search_id)
-    replayed = fingerprint.fingerprint(again).withColumn("run_id", F.lit(search_id))
+    replayed = fingerprint.fingerprint(again, digits=REPLAY_DIGITS).withColumn("run_id", F.lit(search_id))
     return fingerprint.replay_check(recorded, replayed, ["run_id"])

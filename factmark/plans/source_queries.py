@@ -83,14 +83,12 @@ def vintage_csv_facts(spark, sf_dir):
 
 def _documents(spark, sf_dir):
     """Each order as one filing document of its customer: its lines are the records."""
-    facts = b.fact_input(spark, sf_dir)
     orders = b.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date(
         "o_orderdate").alias("end"))
     lines = b.table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("val"),
         F.to_date("l_shipdate").cast("string").alias("filed"),
         F.when(F.col("l_returnflag") == "N", "8-K").otherwise("10-K").alias("form"))
-    del facts
     record = F.struct(F.col("end").cast("string").alias("end"), "val", "form", "filed",
                       F.col("l_orderkey").cast("string").alias("accn"))
     # An order has a handful of lines, so the lists below stay small.
@@ -201,19 +199,27 @@ def append_versions(spark, sf_dir):
         "version_id", "version_number", "row_count", "knowledge_date")
 
 
-@query("""SELECT 'first' AS load, 'orders@v1' AS version_id UNION ALL SELECT 'second', 'orders@v2'
-UNION ALL SELECT 'first again', 'orders@v1'""")
+@query(f"""WITH {b.FACTS_SQL}, n AS (SELECT version_number AS v, count(*) AS row_count FROM facts GROUP BY 1)
+SELECT load, 'orders@v' || CAST(v AS VARCHAR) AS version_id, row_count
+FROM (VALUES ('first', 1), ('second', 2), ('first again', 1)) l(load, v) JOIN n USING (v)""")
 def idempotent_load(spark, sf_dir):
     """A load with known content returns the version that already holds it."""
-    _, ids = _two_loads(spark, sf_dir)
-    return spark.createDataFrame(list(zip(("first", "second", "first again"), ids)),
-                                 "load string, version_id string")
+    root, ids = _two_loads(spark, sf_dir)
+    returned = spark.createDataFrame(list(zip(("first", "second", "first again"), ids)),
+                                     "load string, version_id string")
+    return returned.join(versions.versions(spark, root, "orders"), "version_id").select(
+        "load", "version_id", "row_count")
 
 
-@query("SELECT 'orders' AS dataset_id, 'orders@v2' AS version_id, 2 AS version_number")
+@query(f"""WITH {b.FACTS_SQL}
+SELECT 'orders' AS dataset_id, 'orders@v' || CAST(max(version_number) AS VARCHAR) AS version_id,
+       CAST(max(version_number) AS INTEGER) AS version_number,
+       count(*) FILTER (version_number = 2) AS row_count FROM facts""")
 def current_versions(spark, sf_dir):
     root, _ = _two_loads(spark, sf_dir)
-    return versions.current_versions(versions.versions(spark, root))
+    catalogue = versions.versions(spark, root)
+    return versions.current_versions(catalogue).join(
+        catalogue.select("version_id", "row_count"), "version_id")
 
 
 @query(f"""WITH {b.MARKED_SQL}

@@ -14,7 +14,6 @@ from pyspark.sql.utils import AnalysisException
 from ..errors import PointInTimeError, ResearchError
 from ..operators.bitemporal import mark_restatements
 from ..operators.fingerprint import multiset_hash
-from ..operators.ordering import with_position
 from ..schemas import FACT_IN, FACTS, VERSIONS, conform
 
 # The columns whose content identifies a load.
@@ -80,11 +79,12 @@ def append_facts(spark: SparkSession, root: str, dataset_id: str, facts: DataFra
     if mark:
         stored = read_facts(spark, root, dataset_id) if known else None
         facts = mark_restatements(facts, stored)
-    numbered = with_position(
-        facts.withColumn("is_restatement", F.coalesce("is_restatement", F.lit(False))),
-        ["effective_date", "knowledge_date", "entity_id", "field", "value"], (), "fact_ord")
-    numbered = numbered.withColumns({"dataset_id": F.lit(dataset_id),
-                                     "version_number": F.lit(number)})
+    # Ordinals are unique inside the version, not dense: numbering them densely would
+    # sort the whole load for no reader's benefit.
+    numbered = facts.withColumns({
+        "is_restatement": F.coalesce("is_restatement", F.lit(False)),
+        "fact_ord": F.monotonically_increasing_id(),
+        "dataset_id": F.lit(dataset_id), "version_number": F.lit(number)})
     (conform(numbered, FACTS).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
      .partitionBy("dataset_id", "version_number").parquet(f"{root}/facts"))
