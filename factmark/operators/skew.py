@@ -26,11 +26,14 @@ def join_summary(rows: DataFrame, summary: DataFrame, keys: list[str], count: st
     extra = [c for c in summary.columns if c not in keys]
     packed = summary.select(*keys, F.struct(*extra).alias("_s"), F.col(count).alias("_c"))
     hot = packed.where(F.col("_c") > hot_rows).select(*keys, F.col("_s").alias("_hot"))
+    # Always zero, but not a literal: a literal would be folded out of the join keys, and
+    # the hot rows would be gathered again.
+    zero = F.least(F.col("_c"), F.lit(0))
     cold = packed.where(F.col("_c") <= hot_rows).select(
-        *keys, F.col("_s").alias("_cold"), F.lit(0).alias("_salt"))
+        *keys, F.col("_s").alias("_cold"), zero.cast("long").alias("_salt"))
     tagged = rows.join(F.broadcast(hot), keys, "left")
     salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.spark_partition_id())
-    both = tagged.withColumn("_salt", salt).join(cold, [*keys, "_salt"], "left")
+    both = tagged.withColumn("_salt", salt.cast("long")).join(cold, [*keys, "_salt"], "left")
     found = F.coalesce("_hot", "_cold")
     return (both.withColumn("_s", found).where(F.col("_s").isNotNull())
             .select(*rows.columns, *[F.col("_s")[c].alias(c) for c in extra]))
