@@ -374,7 +374,7 @@ _SUMMARY_SQL = f"""{TIMING_SQL}, curve AS (
          AS equity FROM rule),
 fall AS (SELECT *, equity / greatest(1, max(equity) OVER (PARTITION BY entity_id, win
          ORDER BY effective_date)) - 1 AS fall FROM curve),
-fam AS (SELECT entity_id, win, count(*) AS n_periods, avg(strategy) / stddev_pop(strategy) AS sharpe,
+fam AS (SELECT entity_id, win, count(*) AS n_periods, avg(strategy) / nullif(stddev_pop(strategy), 0) AS sharpe,
         -least(0, min(fall)) AS mdd, max_by(equity, effective_date) - 1 AS total, avg(signal) AS exposure
         FROM fall GROUP BY ALL)"""
 

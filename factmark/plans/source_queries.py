@@ -276,7 +276,8 @@ SELECT (SELECT count(*) FROM chosen) AS considered,
        (SELECT count(DISTINCT entity_id) FROM uf) AS loaded, (SELECT count(*) FROM uf) AS facts,
        count(*) AS companies, count(*) FILTER (honest <> hindsight) AS restated,
        round(corr(ra, rb), 6) AS spearman,
-       count(*) FILTER (ra * 100 // n <> rb * 100 // n) AS changed_bucket FROM ranked""")
+       count(*) FILTER (ra * 100 // n <> rb * 100 // n) AS changed_bucket FROM ranked
+HAVING count(*) >= 100""")
 def universe_to_churn(spark, sf_dir):
     """Documents to rank churn: select by number, parse, validate, load once, rank twice."""
     from ..operators.validation import split_facts

@@ -11,7 +11,9 @@ from factmark.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8")
+    # Tiny inputs: compiling whole stages would cost more than running them.
+    session = local_session("8", **{"spark.sql.codegen.wholeStage": "false",
+                                    "spark.sql.shuffle.partitions": "4"})
     yield session
     session.stop()
 
