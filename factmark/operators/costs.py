@@ -7,9 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ResearchError
-from ..functions.impact import borrow_cost, borrow_refused, execution_cost, net_sharpe
+from ..functions.impact import (borrow_cost, borrow_refused, drag_coefficients, execution_cost,
+                                net_sharpe)
+from ..functions.normal import let
 
-MARKET = ["price", "adv", "daily_volatility", "shares_outstanding", "spread", "commission"]
+DRAG = ["_fixed", "_linear", "_power"]
 
 
 def _market() -> dict[str, Column]:
@@ -56,24 +58,22 @@ def capacity(instruments: DataFrame, gross_sharpe: float, turnover_per_year: flo
     if not 0 < threshold < 1:
         raise ResearchError("threshold must be in (0, 1)")
     rounds = math.ceil(math.log2(math.log(max_aum) / math.log(ratio)))
+    target = gross_sharpe * threshold
 
     def net(aum: Column) -> Column:
-        return net_sharpe(aum, gross_sharpe, **_market(), turnover_per_year=turnover_per_year,
-                          trading_days=trading_days, days=days)
-
-    target = gross_sharpe * threshold
+        return net_sharpe(aum, gross_sharpe, *(F.col(c) for c in DRAG))
 
     def halve(bracket: Column, _round: Column) -> Column:
         mid = F.sqrt(bracket["lo"] * bracket["hi"])
-        enough = net(mid) >= target
-        return F.struct(F.when(enough, mid).otherwise(bracket["lo"]).alias("lo"),
-                        F.when(enough, bracket["hi"]).otherwise(mid).alias("hi"))
+        return let(mid, lambda m: let(net(m) >= target, lambda enough: F.struct(
+            F.when(enough, m).otherwise(bracket["lo"]).alias("lo"),
+            F.when(enough, bracket["hi"]).otherwise(m).alias("hi"))))
 
     start = F.struct(F.lit(1.0).alias("lo"), F.lit(float(max_aum)).alias("hi"))
     found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, halve)["lo"]
     never = net(F.lit(float(max_aum))) >= target
-    return instruments.withColumn(
-        "aum_ceiling", F.when(never, F.lit(float("inf"))).otherwise(found))
+    return _with_drag(instruments, turnover_per_year, trading_days, days).withColumn(
+        "aum_ceiling", F.when(never, F.lit(float("inf"))).otherwise(found)).drop(*DRAG)
 
 
 def capacity_curve(ceilings: DataFrame, gross_sharpe: float, turnover_per_year: float,
@@ -81,9 +81,16 @@ def capacity_curve(ceilings: DataFrame, gross_sharpe: float, turnover_per_year:
                    max_aum: float = 1e11) -> DataFrame:
     """Net Sharpe over decades of AUM from 1e5 up to 100 times each finite ceiling."""
     decades = [10.0 ** e for e in range(5, int(math.log10(max_aum)) + 1)]
-    curve = (ceilings.where(F.col("aum_ceiling") < float("inf"))
+    finite = ceilings.where(F.col("aum_ceiling") < float("inf"))
+    curve = (_with_drag(finite, turnover_per_year, trading_days, days)
              .withColumn("aum", F.explode(F.array(*[F.lit(d) for d in decades])))
              .where(F.col("aum") <= F.least(F.col("aum_ceiling") * 100, F.lit(float(max_aum)))))
     return curve.select("symbol", "aum", net_sharpe(
-        F.col("aum"), gross_sharpe, **_market(), turnover_per_year=turnover_per_year,
-        trading_days=trading_days, days=days).alias("net_sharpe"))
+        F.col("aum"), gross_sharpe, *(F.col(c) for c in DRAG)).alias("net_sharpe"))
+
+
+def _with_drag(instruments: DataFrame, turnover_per_year: float, trading_days: int,
+               days: float) -> DataFrame:
+    parts = drag_coefficients(**_market(), turnover_per_year=turnover_per_year,
+                              trading_days=trading_days, days=days)
+    return instruments.withColumns({f"_{name}": c for name, c in parts.items()})

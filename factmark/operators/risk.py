@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import TRADING_DAYS, annualise_return, finite, recovery_time, throttle
+from ..session import materialise
 from .ordering import exact_quantiles, one_row
 
 
@@ -115,8 +116,8 @@ def path_statistics(outcomes: DataFrame, trading_days: int = TRADING_DAYS) -> Da
     what one reducer can hold; the tail means are a second pass that joins the
     single row of quantiles.
     """
-    paths = outcomes.withColumn("annualised", annualise_return(
-        F.col("total_return"), F.col("horizon"), trading_days))
+    paths = materialise(outcomes.withColumn("annualised", annualise_return(
+        F.col("total_return"), F.col("horizon"), trading_days)), "outcomes")
     long = paths.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("measure"), F.col(c).alias("v"))
         for c in ("total_return", "max_drawdown", "annualised")])).alias("m")).select("m.*")

@@ -8,6 +8,7 @@ from ..errors import ResearchError
 from ..operators import factors, fingerprint, ledger, sweep
 from ..operators.bitemporal import require_point_in_time, series
 from ..operators.folds import leakage_report
+from ..session import materialise
 from ..sources import versions as store
 
 
@@ -50,6 +51,7 @@ def counted_sweep(returns: DataFrame, params: list[dict], ledger_path: str, sear
     is evaluated, and the deflation reads the ledger, not the evaluation.
     """
     spark = returns.sparkSession
+    returns = materialise(returns.select("entity_id", "effective_date", "ret"), "returns")
     mine = f"{ledger_path}/search_id={search_id}"
     entities = returns.select("entity_id").distinct()
     start_trials(entities, len(params)).write.mode("append").parquet(f"{mine}/started")

@@ -91,21 +91,22 @@ def _documents(spark, sf_dir):
         F.when(F.col("l_returnflag") == "N", "8-K").otherwise("10-K").alias("form"))
     record = F.struct(F.col("end").cast("string").alias("end"), "val", "form", "filed",
                       F.col("l_orderkey").cast("string").alias("accn"))
+    line = F.col("l_linenumber")
     # An order has a handful of lines, so the lists below stay small.
-    tags = (orders.join(lines, orders.o_orderkey == lines.l_orderkey)
-            .groupBy("o_orderkey", "o_custkey",
-                     F.when(F.col("l_linenumber") == 1, "StockholdersEquity")
-                     .when(F.col("l_linenumber") == 2, "Assets").otherwise("Liabilities")
-                     .alias("tag"))
-            .agg(F.collect_list(record).alias("records")))
-    units = F.struct(F.create_map(F.lit("USD"), F.col("records")).alias("units"))
-    return (tags.groupBy("o_orderkey", "o_custkey")
-            .agg(F.map_from_entries(F.collect_list(F.struct("tag", units))).alias("tags"))
+    tags = {"StockholdersEquity": line == 1, "Assets": line == 2, "Liabilities": line > 2}
+    units = lambda records: F.struct(
+        F.create_map(F.lit("USD"), records).alias("units"))
+    concepts = F.map_filter(
+        F.create_map(*[x for tag in tags for x in (F.lit(tag), units(F.col(tag)))]),
+        lambda _, concept: F.size(concept["units"]["USD"]) > 0)
+    return (orders.join(lines, orders.o_orderkey == lines.l_orderkey)
+            .groupBy("o_orderkey", "o_custkey")
+            .agg(*[F.collect_list(F.when(test, record)).alias(tag) for tag, test in tags.items()])
             .select(filings.entity_id(F.col("o_custkey")).alias("entity_id"),
                     F.col("o_custkey").alias("cik"),
                     F.to_json(F.struct(
                         F.col("o_custkey").cast("string").alias("cik"),
-                        F.create_map(F.lit("us-gaap"), F.col("tags")).alias("facts")))
+                        F.create_map(F.lit("us-gaap"), concepts).alias("facts")))
                     .alias("payload")))
 
 

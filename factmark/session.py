@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .errors import ResearchError
 
@@ -57,3 +57,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the checkpoint folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/factmark-{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once under the checkpoint folder and read it back.
+
+    For results that several later stages read: the work above is not repeated, every
+    reader sees the same rows even if a lost executor forces a recomputation, and
+    Parquet still lets each of them read only its columns.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

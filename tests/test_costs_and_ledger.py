@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import day
 from factmark.errors import ResearchError
-from factmark.functions.impact import net_sharpe
+from factmark.functions.impact import execution_cost
 from factmark.operators import costs, fingerprint, ledger, validation
 from factmark.schemas import INSTRUMENTS
 
@@ -30,10 +30,14 @@ def test_capacity_curve_falls_and_stops(market):
     values = [r.net_sharpe for r in curve]
     assert values == sorted(values, reverse=True)
     assert [r.aum for r in curve] == [1e5, 1e6, 1e7, 1e8, 1e9, 1e10]
-    at = ceilings.select("symbol", net_sharpe(
-        F.col("aum_ceiling"), 2.0, F.col("price"), F.col("adv"), F.col("daily_volatility"),
-        F.col("shares_outstanding"), F.col("spread"), F.col("commission"), 12.0).alias("s")).collect()
-    assert [r.s for r in at] == pytest.approx([1.0, 1.0], abs=1e-3)
+    # The ceiling priced order by order: half of the gross Sharpe is left.
+    aum = F.col("aum_ceiling")
+    cost = execution_cost(aum * 12 / 252 / F.col("price"), F.col("price"), F.col("adv"),
+                          F.col("daily_volatility"), F.col("shares_outstanding"), F.col("spread"),
+                          F.col("commission"))["total"]
+    left = 2.0 - cost / aum * 252 / (F.col("daily_volatility") * math.sqrt(252))
+    assert [r.s for r in ceilings.select(left.alias("s")).collect()] == pytest.approx(
+        [1.0, 1.0], abs=1e-3)
 
 
 def test_capacity_limits(market):
