@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sizing import HALF_KELLY, fractional_kelly, growth_rate, kelly_fraction
+from .skew import join_summary
 
 # The starting set of shocks (name, return multiplier, volatility multiplier).
 SCENARIOS = [
@@ -45,16 +46,19 @@ def return_moments(returns: DataFrame, risk_free_rate: float = 0.0,
     positive semi-definite, or more assets than a dense solve should hold.
     """
     clean = returns.where(F.col("ret").isNotNull())
-    sizes = clean.groupBy("portfolio_id").agg(
-        F.count_distinct("entity_id").alias("n_assets"))
+    # Two levels, so that one wide portfolio is counted by many tasks.
+    sizes = (clean.groupBy("portfolio_id", "entity_id").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("n_assets"),
+                                          F.sum("n").alias("n_rows")))
     too_wide = sizes.where(F.col("n_assets") > max_assets).select(
         "portfolio_id", F.lit(0).cast("long").alias("n_dates"),
         F.lit("too many assets").alias("status"),
         *[F.lit(None).cast(t).alias(c) for c, t in (
             ("assets", "array<string>"), ("mean", "array<double>"),
             ("covariance", "array<double>"), ("weights", "array<double>"))])
-    vectors = (clean.join(sizes.where(F.col("n_assets") <= max_assets), "portfolio_id")
-               .groupBy("portfolio_id", "effective_date", "n_assets")
+    # Too-wide portfolios are dropped after the join, where their rows already are.
+    vectors = (join_summary(clean, sizes, ["portfolio_id"], "n_rows")
+               .where(F.col("n_assets") <= max_assets).groupBy("portfolio_id", "effective_date", "n_assets")
                .agg(F.sort_array(F.collect_list(F.struct("entity_id", "ret"))).alias("v"))
                .where(F.size("v") == F.col("n_assets"))
                .select("portfolio_id", F.col("v.entity_id").alias("assets"),

@@ -11,6 +11,8 @@ from ..functions.impact import (borrow_cost, borrow_refused, drag_coefficients,
                                 net_sharpe)
 from ..functions.normal import let
 
+from .skew import join_summary
+
 DRAG = ["_fixed", "_linear", "_power"]
 
 
@@ -25,8 +27,14 @@ def trade_costs(trades: DataFrame, instruments: DataFrame, days: float = 1.0) ->
     if days <= 0:
         raise ResearchError("execution horizon must be positive")
     costs = execution_cost(F.col("shares"), **_market(), days=days)
-    return (trades.join(instruments, "symbol")
-            .select(*trades.columns, *[c.alias(name) for name, c in costs.items()]))
+    return _in_market(trades, instruments).select(
+        *trades.columns, *[c.alias(name) for name, c in costs.items()])
+
+
+def _in_market(trades: DataFrame, instruments: DataFrame) -> DataFrame:
+    """Orders beside their instrument. The most traded symbols are joined map-side."""
+    flow = trades.groupBy("symbol").agg(F.count(F.lit(1)).alias("_orders"))
+    return join_summary(trades, instruments.join(flow, "symbol"), ["symbol"], "_orders")
 
 
 def borrow_check(trades: DataFrame, instruments: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -36,7 +44,7 @@ def borrow_check(trades: DataFrame, instruments: DataFrame) -> tuple[DataFrame,
     than charged more.
     """
     market = instruments.select("symbol", "price", "borrow_available", "borrow_fee_annual")
-    both = trades.join(market, "symbol")
+    both = _in_market(trades, market)
     refused = F.coalesce(borrow_refused(F.col("shares"), F.col("borrow_available")), F.lit(False))
     fee = borrow_cost(F.col("shares"), F.col("price"), F.col("borrow_fee_annual"),
                       F.col("days_held"))

@@ -7,6 +7,8 @@ adds per-(task, group) offsets afterwards.
 """
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -69,9 +71,12 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: list[float],
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(
         F.count(F.lit(1)).alias("_copies"))
     placed = with_position(counts, [value], group, "_at", "_n", "_copies")
-    rank = F.col("p") * (F.col("_n") - 1)
     covers = lambda r: r.between(F.col("_at"), F.col("_at") + F.col("_copies") - 1)
-    near = placed.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+    at = lambda p: p * (F.col("_n") - 1)
+    touches = [covers(edge(at(F.lit(float(p))))) for p in probabilities for edge in (F.floor, F.ceil)]
+    near = placed.where(functools.reduce(Column.__or__, touches)).withColumn(
+        "p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
+    rank = at(F.col("p"))
     low, high = covers(F.floor(rank)), covers(F.ceil(rank))
     ends = near.where(low | high).groupBy(*group, F.col("p").alias("probability")).agg(
         F.max(F.when(low, F.col(value))).alias("_low"),

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..operators.bitemporal import mark_restatements
 from ..operators.folds import index_labels
-from ..operators.skew import join_summary
 from ..operators.validation import split_facts
 
 
@@ -273,18 +272,15 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BETS_SQL = """
 bets AS (
-  SELECT event_type AS strategy, value > mean AS win, abs(value - mean) AS amount
-  FROM events JOIN (SELECT event_type, avg(value) AS mean FROM events GROUP BY 1)
-       USING (event_type))"""
+  SELECT event_type AS strategy, value > 40 AS win, abs(value - 40) AS amount FROM events)"""
 
 
 def bets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("event_type", "value")
-    means = events.groupBy("event_type").agg(F.avg("value").alias("mean"),
-                                             F.count(F.lit(1)).alias("n"))
-    return join_summary(events, means, ["event_type"], "n").select(
-        F.col("event_type").alias("strategy"), (F.col("value") > F.col("mean")).alias("win"),
-        F.abs(F.col("value") - F.col("mean")).alias("amount"))
+    """Every event as a bet on its value exceeding 40, paid by the distance."""
+    gap = F.col("value") - 40
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("strategy"), (gap > 0).alias("win"),
+        F.abs(gap).alias("amount"))
 
 
 PATHS_SQL = SUPPLIER_PRICE_SQL + """,

@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.impact import participation_rate, permanent_impact, temporary_impact
 from ..operators import costs, validation
 from . import bindings as b
 from .registry import query, r6
@@ -24,14 +23,11 @@ SELECT order_id, symbol, shares, days_held, round(rate, 6) AS participation_rate
        round(perm, 8) AS permanent_impact, round(temp, 8) AS temporary_impact FROM cost""")
 def market_impact(spark, sf_dir):
     """Participation, lasting and passing impact of every order line."""
-    both = b.trades(spark, sf_dir).join(b.instruments(spark, sf_dir), "symbol")
-    shares, adv, vol = F.col("shares"), F.col("adv"), F.col("daily_volatility")
-    return both.select(
-        "order_id", "symbol", "shares", "days_held",
-        r6(participation_rate(shares, adv)).alias("participation_rate"),
-        r6(permanent_impact(shares, adv, vol, F.col("shares_outstanding")), 8)
-        .alias("permanent_impact"),
-        r6(temporary_impact(shares, adv, vol), 8).alias("temporary_impact"))
+    cost = costs.trade_costs(b.trades(spark, sf_dir), b.instruments(spark, sf_dir))
+    return cost.select("order_id", "symbol", "shares", "days_held",
+                       r6("participation_rate").alias("participation_rate"),
+                       r6("permanent_impact", 8).alias("permanent_impact"),
+                       r6("temporary_impact", 8).alias("temporary_impact"))
 
 
 @query(f"""WITH {_COST_SQL}, c AS (

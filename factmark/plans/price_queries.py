@@ -344,7 +344,7 @@ TIMING_SQL = _timing_sql(WINDOWS)
 
 
 @query(f"""WITH {TIMING_SQL}
-SELECT entity_id, effective_date, round(strategy, 6) AS strategy, round(market, 6) AS market,
+SELECT entity_id, effective_date, round(strategy, 6) + 0.0 AS strategy, round(market, 6) + 0.0 AS market,
        signal FROM rule WHERE win = 200""")
 def timing_rule(spark, sf_dir):
     rows = sweep.timing_returns(b.prices(spark, sf_dir), [200])

@@ -22,4 +22,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def r6(column, places: int = 6) -> Column:
-    return F.round(column, places)
+    """Rounded for comparison, without negative zeros."""
+    return F.round(column, places) + 0.0

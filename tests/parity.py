@@ -35,7 +35,7 @@ def kind(value) -> str:
 
 def cell(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else value + 0.0
+        return "nan" if math.isnan(value) else repr(value)
     if isinstance(value, datetime.datetime):
         return value.replace(tzinfo=None)
     return value
@@ -63,6 +63,18 @@ def compare(spark_rows, spark_cols, duck_rows, duck_cols) -> list[str]:
     return problems
 
 
+DUCK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+              "BOOLEAN": "boolean", "DATE": "date", "TIMESTAMP": "timestamp_ntz"}
+
+
+def type_gaps(df, con, sql) -> list[str]:
+    """Declared column types that do not correspond."""
+    left = dict(df.dtypes)
+    right = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return [f"{c}: {left.get(c)} vs {right.get(c)}" for c in left
+            if DUCK_TYPES.get(right.get(c)) != left[c]]
+
+
 def main() -> int:
     import __spark_entry__ as entry
     from factmark.session import local_session
@@ -81,6 +93,7 @@ def main() -> int:
                 cursor = con.execute(entry.oracle_sql()[name])
                 problems = compare(rows, df.columns, cursor.fetchall(),
                                    [d[0] for d in cursor.description])
+                problems += type_gaps(df, con, entry.oracle_sql()[name])
                 note = f"duckdb {time.time() - mark:.1f}s"
         except Exception as exc:  # noqa: BLE001
             problems, took, note, rows = [str(exc)[:1500]], time.time() - start, "", []
