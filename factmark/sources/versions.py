@@ -46,10 +46,14 @@ def current_versions(catalogue: DataFrame) -> DataFrame:
 
 
 def read_facts(spark: SparkSession, root: str, dataset_id: str) -> DataFrame:
-    """Facts of all committed versions of a dataset; both partition columns are pruned."""
-    facts = _read(spark, f"{root}/facts", FACTS).where(F.col("dataset_id") == dataset_id)
-    committed = versions(spark, root, dataset_id).select("dataset_id", "version_number")
-    return facts.join(committed, ["dataset_id", "version_number"], "left_semi")
+    """Facts of all committed versions of a dataset.
+
+    Versions are numbered without gaps and committed in order, so the newest catalogue
+    row tells which partitions count: a filter on two partition columns, not a join.
+    """
+    newest = versions(spark, root, dataset_id).agg(F.max("version_number")).first()[0]
+    return _read(spark, f"{root}/facts", FACTS).where(
+        (F.col("dataset_id") == dataset_id) & (F.col("version_number") <= (newest or 0)))
 
 
 def content_summary(facts: DataFrame) -> DataFrame:
