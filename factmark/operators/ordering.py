@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root
+from ..session import materialise
 
 
 def with_position(df: DataFrame, order: list[str], group: list[str] = (),
@@ -24,17 +24,16 @@ def with_position(df: DataFrame, order: list[str], group: list[str] = (),
     ``order`` should identify a row inside its group: equal rows are ranked arbitrarily
     and cannot be spread over tasks. Where copies abound, aggregate them first and give
     their count as ``weight``: the position is then that of the first copy.
-    The sorted rows are checkpointed because range bounds are sampled: offsets and rows
-    must come from the same materialised layout.
+    The sorted rows are written once because range bounds are sampled: offsets and rows
+    must come from the same layout, and the offsets read only its key columns.
     """
-    checkpoint_root(df.sparkSession)
     group = list(group)
     keys = group + list(order)
     heavy = F.col(weight) if weight else F.lit(1)
-    laid_out = (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-                .withColumn("_task", F.spark_partition_id())
-                .withColumn("_row", F.monotonically_increasing_id())
-                .checkpoint())
+    laid_out = materialise(
+        df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        .withColumn("_task", F.spark_partition_id())
+        .withColumn("_row", F.monotonically_increasing_id()), "ranked")
     pieces = laid_out.groupBy("_task", *group).agg(
         F.sum(heavy).alias("_n"), F.min("_row").alias("_first"))
     # One row per (task, group): at most #tasks rows for any one group, so this
