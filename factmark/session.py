@@ -1,8 +1,12 @@
 """Session settings and the one place scratch storage is chosen."""
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +41,25 @@ def local_session(cores: str = "*", **extra: str) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give every executor this package, which their Python workers import by name.
+
+    Without it a worker started in another folder has no such module. Once per context.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_factmark_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as archive:
+        for path in sorted(package.rglob("*.py")):
+            archive.write(path, path.relative_to(package.parent))
+    target = os.path.join(tempfile.mkdtemp(prefix="factmark-"), "factmark.zip")
+    Path(target).write_bytes(data.getvalue())
+    context.addPyFile(target)  # Spark copies it to each executor
+    context._factmark_shipped = True
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
