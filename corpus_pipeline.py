@@ -1,5 +1,64 @@
-"""placeholder"""
-STAGES = []
+"""From raw documents to packed sequences: five stages, each on what the last one kept."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factmark.llm import mixing, neardup, packing, quality, substring
+from factmark.llm.queries import tokenizer_path
+from factmark.session import scratch_path, ship_package
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Hashes order and boosted tables judge here, which SQL cannot express.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    ship_package(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.quality(docs, labels, carry=COLUMNS[1:]).where("predicted = 1").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, five-word shingles alike to 0.8."""
+    ship_package(spark)
+    kept = neardup.near_duplicates(docs, width=5, percent=80).where("kept").select(
+        F.col("doc_id").alias("_kept"))
+    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of 13 words that an earlier document holds; a document that had words and
+    has none left goes."""
+    ship_package(spark)
+    cut = substring.remove_repeats(docs, window=13, carry=["lang", "source"])
+    return cut.where("n_words = 0 OR n_removed < n_words").withColumn(
+        "n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    ship_package(spark)
+    return mixing.mixed_copies(docs).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the mixed documents in sequences of 2048 ids."""
+    ship_package(spark)
+    return packing.pack(docs, tokenizer_path(), window=2048)
+
+
+STAGES = [("quality classifier", keep_good), ("MinHash near-dedup", drop_near_copies),
+          ("substring dedup", drop_repeats), ("mixing", mix_sources),
+          ("packing", pack_sequences)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each is written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        path = scratch_path(spark, f"stage-{i}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

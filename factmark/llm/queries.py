@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    mixing, neardup, packing, quality, rules, sharding, substring, topk, toxicity)
+    chat, mixing, neardup, packing, quality, rules, sharding, substring, topk, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -194,3 +194,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op6_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair_roles(table(spark, sf_dir, "conversations"))
