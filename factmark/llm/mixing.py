@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Words of a block.
 BLOCK = 16
 #: Documents of a source laid out in one task, on average.
-LAID_OUT = 50_000
+LAID_OUT = 8_000
 _OWN = ("doc_id", "size", "source_size", "target", "taken", "first_word", "rounds", "extra",
         "blocks", "start")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,7 +55,7 @@ def apportion(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     for _ in range(100):
         middle = (low + high) / 2
         low, high = (middle, high) if given(middle).sum() > seats else (low, middle)
-    out = given(high)
+    out = given(high * (1 + 1e-9))  # a hair wider, so that equal quotients are left over
     heap = [(-votes[i] / (2 * out[i] + 1), i) for i in np.flatnonzero(out < most)]
     heapq.heapify(heap)
     for _ in range(seats - int(out.sum())):

@@ -25,7 +25,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, carry: list[str] = ()) ->
     """Remove each word covered by a window of ``window`` consecutive words whose word
     sequence also starts in a document with a smaller ``doc_id``.
 
-    Windows are judged on the input. Returns per row: ``doc_id``, the columns ``carry``,
+    Windows are judged on the input. Returns per row: ``doc_id``, the columns ``carry`` (without
+    those named like a result),
     ``text`` (the kept words joined by one space; untouched where nothing was removed),
     ``kept_words`` (the same, always joined), ``n_words``, ``n_removed`` and ``spans`` (the
     maximal runs of removed words, ``[first, last)``). A text that is null, empty or
@@ -45,7 +46,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, carry: list[str] = ()) ->
     text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + text_bytes // BLOCK_BYTES
     ranges = 1 + text_bytes // (6 * RANGE_WINDOWS)  # a word and its space take six bytes
-    carry = [c for c in carry if c not in ("doc_id", "text")]
+    carry = [c for c in carry if c not in (
+        "doc_id", "text", "kept_words", "n_words", "n_removed", "spans")]
     laid = docs.select(F.col("doc_id").cast("long"), "text", *carry).withColumn(
         "_block", F.expr(f"pmod(xxhash64(doc_id, text), {blocks}L)"))
 

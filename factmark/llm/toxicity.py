@@ -164,10 +164,10 @@ def _sources(spoke: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 def inputs(m: np.ndarray) -> np.ndarray:
     """What the classifier sees of a text."""
-    hits, words = m[:, :-3], np.maximum(m[:, -3:-2], 1)
+    hits = m[:, :-3]
     return np.column_stack([
         np.ones(len(m)), hits > 0, np.log1p(hits.sum(1)), np.minimum((hits > 0).sum(1), 5),
-        np.minimum(100 * hits.sum(1, keepdims=True) / words, 10), m[:, -2:]]).astype(float)
+        m[:, -2:]]).astype(float)
 
 
 def fit_linear(x: np.ndarray, p: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:

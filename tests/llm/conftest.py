@@ -1,0 +1,12 @@
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+import pytest  # noqa: E402
+from factmark.session import ship_package  # noqa: E402
+
+
+@pytest.fixture(autouse=True, scope="session")
+def shipped(spark):
+    ship_package(spark)
