@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sizing import HALF_KELLY, fractional_kelly, growth_rate, kelly_fraction
-from .skew import join_summary
+from ..session import materialise
 
 # The starting set of shocks (name, return multiplier, volatility multiplier).
 SCENARIOS = [
@@ -35,30 +35,22 @@ MOMENTS = ("portfolio_id string, n_dates long, status string, assets array<strin
            "mean array<double>, covariance array<double>, weights array<double>")
 
 
-def return_moments(returns: DataFrame, risk_free_rate: float = 0.0,
-                   max_assets: int = 2000) -> DataFrame:
+def return_moments(returns: DataFrame, risk_free_rate: float = 0.0) -> DataFrame:
     """Means, sample covariance and Kelly weights inv(S)(mu - r) per portfolio.
 
     ``returns`` is (portfolio_id, entity_id, effective_date, ret). Only dates on which
     every asset of the portfolio traded are used. Each date becomes one vector, so a
     portfolio is at most one vector per calendar day and no asset pairs are ever
-    emitted as rows. ``status`` says why a portfolio has no weights: singular, not
-    positive semi-definite, or more assets than a dense solve should hold.
+    emitted as rows. ``status`` says why a portfolio has no weights: singular or not
+    positive semi-definite. A covariance of no fewer assets than dates is singular by its
+    rank, so none is built: the width of what is solved is bounded by calendar days.
     """
     clean = returns.where(F.col("ret").isNotNull())
     # Two levels, so that one wide portfolio is counted by many tasks.
     sizes = (clean.groupBy("portfolio_id", "entity_id").agg(F.count(F.lit(1)).alias("n"))
-             .groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("n_assets"),
-                                          F.sum("n").alias("n_rows")))
-    too_wide = sizes.where(F.col("n_assets") > max_assets).select(
-        "portfolio_id", F.lit(0).cast("long").alias("n_dates"),
-        F.lit("too many assets").alias("status"),
-        *[F.lit(None).cast(t).alias(c) for c, t in (
-            ("assets", "array<string>"), ("mean", "array<double>"),
-            ("covariance", "array<double>"), ("weights", "array<double>"))])
-    # Too-wide portfolios are dropped after the join, where their rows already are.
-    vectors = (join_summary(clean, sizes, ["portfolio_id"], "n_rows")
-               .where(F.col("n_assets") <= max_assets).groupBy("portfolio_id", "effective_date", "n_assets")
+             .groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("n_assets")))
+    vectors = (clean.join(materialise(sizes, "sizes"), "portfolio_id")
+               .groupBy("portfolio_id", "effective_date", "n_assets")
                .agg(F.sort_array(F.collect_list(F.struct("entity_id", "ret"))).alias("v"))
                .where(F.size("v") == F.col("n_assets"))
                .select("portfolio_id", F.col("v.entity_id").alias("assets"),
@@ -73,6 +65,8 @@ def return_moments(returns: DataFrame, risk_free_rate: float = 0.0,
                "assets": assets, "mean": mean.tolist(), "covariance": None, "weights": None}
         if len(x) < 2:
             return pd.DataFrame([{**row, "status": "fewer than two dates"}])
+        if x.shape[1] >= len(x) > 2:
+            return pd.DataFrame([{**row, "status": "singular"}])
         cov = np.atleast_2d(np.cov(x, rowvar=False, ddof=1))
         row["covariance"] = cov.ravel().tolist()
         spectrum = np.linalg.eigvalsh(cov)
@@ -86,8 +80,7 @@ def return_moments(returns: DataFrame, risk_free_rate: float = 0.0,
                 status = "singular"
         return pd.DataFrame([{**row, "status": status}])
 
-    solved = vectors.groupBy("portfolio_id").applyInPandas(solve, MOMENTS)
-    return solved.unionByName(too_wide)
+    return vectors.groupBy("portfolio_id").applyInPandas(solve, MOMENTS)
 
 
 def kelly_weights(moments: DataFrame, fraction: float = 1.0) -> DataFrame:

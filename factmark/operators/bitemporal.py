@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..errors import LookAheadContamination, PointInTimeError, ResearchError
 from .ordering import one_row
-from .skew import HOT_ROWS, join_summary
+from ..session import materialise
 
 KEY = ["entity_id", "field", "effective_date"]
 
@@ -168,18 +168,19 @@ def restatement_baseline(batch: DataFrame, stored: DataFrame | None = None) -> D
         F.coalesce("already_stored", F.lit(False)).alias("already_stored"), "n_incoming")
 
 
-def mark_restatements(batch: DataFrame, stored: DataFrame | None = None,
-                      hot_rows: int = HOT_ROWS) -> DataFrame:
+def mark_restatements(batch: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Flag rows whose value differs from the one first known for their period.
 
-    A flag already present on the input wins. The baseline has one row per period, so
-    a period repeated across a third of the batch is joined map-side, not gathered.
+    A flag already present on the input wins; a row without a complete key has no
+    baseline and stays. The baseline has one row per period and is written first, so
+    that it meets the batch in a join of two plain relations: AQE splits a period that a
+    third of the batch repeats, which it cannot where a side is an aggregate on the key.
     """
-    base = restatement_baseline(batch, stored).select(*KEY, "baseline", "n_incoming")
+    base = materialise(restatement_baseline(batch, stored).select(*KEY, "baseline"), "baseline")
     revised = F.col("baseline").isNotNull() & ~F.col("value").eqNullSafe(F.col("baseline"))
     given = F.col("is_restatement") if "is_restatement" in batch.columns else F.lit(None)
     rest = [c for c in batch.columns if c not in (*KEY, "is_restatement")]
-    return join_summary(batch, base, KEY, "n_incoming", hot_rows).select(
+    return batch.join(base, KEY, "left").select(
         *KEY, *rest, F.coalesce(given.cast("boolean"), revised).alias("is_restatement"))
 
 

@@ -11,8 +11,6 @@ from ..functions.impact import (borrow_cost, borrow_refused, drag_coefficients,
                                 net_sharpe)
 from ..functions.normal import let
 
-from .skew import join_summary
-
 DRAG = ["_fixed", "_linear", "_power"]
 
 
@@ -32,16 +30,22 @@ def trade_costs(trades: DataFrame, instruments: DataFrame, days: float = 1.0) ->
 
 
 def _in_market(trades: DataFrame, instruments: DataFrame) -> DataFrame:
-    """Orders beside their instrument. The most traded symbols are joined map-side."""
-    flow = trades.groupBy("symbol").agg(F.count(F.lit(1)).alias("_orders"))
-    return join_summary(trades, instruments.join(flow, "symbol"), ["symbol"], "_orders")
+    """Orders beside their instrument: a plain join with a dimension, whose hot symbols AQE
+    splits. Orders without one are in ``unknown_instruments``."""
+    return trades.join(instruments, "symbol")
+
+
+def unknown_instruments(trades: DataFrame, instruments: DataFrame) -> DataFrame:
+    """Orders that ``trade_costs`` and ``borrow_check`` cannot price, with the reason."""
+    return trades.join(instruments.select("symbol"), "symbol", "left_anti").withColumn(
+        "reason", F.when(F.col("symbol").isNull(), "order without a symbol")
+        .otherwise("no such instrument"))
 
 
 def borrow_check(trades: DataFrame, instruments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(positions with their borrow fee, refused shorts).
 
-    A short beyond the borrow available did not happen, so it is refused rather
-    than charged more.
+    Borrow that is not there cannot be paid for: a larger short is refused, not priced.
     """
     market = instruments.select("symbol", "price", "borrow_available", "borrow_fee_annual")
     both = _in_market(trades, market)

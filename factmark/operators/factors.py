@@ -33,9 +33,11 @@ def simple_returns(panel: DataFrame, column: str = "ret") -> DataFrame:
 
 
 def cumulative_price(returns: DataFrame, ret: str = "ret") -> DataFrame:
-    """Product of (1 + r) per entity, for r > -1."""
+    """Product of (1 + r) per entity, for r >= -1; after a total loss it stays 0."""
     upto = by_entity().rowsBetween(W.unboundedPreceding, W.currentRow)
-    return returns.withColumn("price", F.exp(F.sum(F.log1p(ret)).over(upto)))
+    lost = F.max(F.col(ret) <= -1).over(upto)
+    return returns.withColumn("price", F.when(lost, 0.0).otherwise(
+        F.exp(F.sum(F.log1p(ret)).over(upto))))
 
 
 def momentum(panel: DataFrame, lookback: int = TRADING_DAYS, skip: int = 21) -> DataFrame:
@@ -70,6 +72,13 @@ def market_size(caps: DataFrame) -> DataFrame:
     return caps.withColumn("factor", size_factor(F.col("value")))
 
 
+def unusable_caps(caps: DataFrame) -> DataFrame:
+    """Rows that ``book_to_market`` cannot use, with the reason."""
+    return caps.where(~F.coalesce(F.col("value") > 0, F.lit(False))).withColumn(
+        "reason", F.when(F.col("value").isNull(), "no market cap").otherwise(
+            "market cap is not positive"))
+
+
 def book_to_market(caps: DataFrame, first_reports: DataFrame) -> DataFrame:
     """Book equity known at each date over market cap.
 
@@ -77,7 +86,8 @@ def book_to_market(caps: DataFrame, first_reports: DataFrame) -> DataFrame:
     report. ``first_reports`` already holds one row per period (its first report and
     the day it became known), so unioning it with the panel and carrying the running
     maximum of (period, value) gives both in one sort per entity, no range join.
-    NULL during the reporting lag; entities' rows with a non-positive cap are dropped.
+    NULL during the reporting lag. Rows whose cap is not positive have no ratio; they
+    are in ``unusable_caps``.
     """
     reports = first_reports.select(
         "entity_id", F.col("knowledge_date").alias("_at"), F.lit(0).alias("_kind"),

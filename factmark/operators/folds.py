@@ -7,12 +7,12 @@ option that skips the purge.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import LeakageError, ResearchError
+from ..session import materialise
 from .ordering import fold_of, with_position
-from .skew import join_summary
 
 
 def index_labels(labels: DataFrame, order: list[str]) -> DataFrame:
@@ -41,8 +41,8 @@ def label_problems(labels: DataFrame, n_splits: int) -> DataFrame:
 def _assigned(labels: DataFrame, n_splits: int) -> DataFrame:
     if n_splits < 2:
         raise ResearchError("n_splits must be at least 2")
-    sizes = labels.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
-    return join_summary(labels, sizes, ["series_id"], "n").withColumn(
+    sizes = materialise(labels.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    return labels.join(sizes, "series_id").withColumn(
         "own_fold", fold_of(F.col("idx"), F.col("n"), n_splits))
 
 
@@ -58,23 +58,27 @@ def fold_bounds(labels: DataFrame, n_splits: int = 5, embargo_pct: float = 0.01)
         F.min("t0").alias("test_start"), F.max("t1").alias("test_end"),
         F.max("idx").alias("last_idx"), F.count(F.lit(1)).alias("n_test"))
     span = F.floor(F.col("n") * embargo_pct)
-    # At most n_splits structs per series.
-    return bounds.groupBy("series_id", "n").agg(F.collect_list(F.struct(
+    # At most n_splits structs per series; written, so that rows meet it in a plain join
+    # (see bitemporal.mark_restatements) and it is found once.
+    return materialise(bounds.groupBy("series_id", "n").agg(F.collect_list(F.struct(
         F.col("own_fold").alias("fold"), "test_start", "test_end", "last_idx", "n_test",
-        (F.col("last_idx") + span).alias("embargo_end"))).alias("folds"))
+        (F.col("last_idx") + span).alias("embargo_end"))).alias("folds")), "bounds")
 
 
 def purged_folds(labels: DataFrame, n_splits: int = 5, embargo_pct: float = 0.01) -> DataFrame:
     """(series_id, fold, idx, role) with role test, purged, embargoed or train."""
     bounds = fold_bounds(labels, n_splits, embargo_pct)
-    rows = join_summary(labels, bounds, ["series_id"], "n").withColumn("f", F.explode("folds"))
+    rows = labels.join(bounds, "series_id").withColumn("f", F.explode("folds"))
+    return rows.select("series_id", F.col("f.fold").alias("fold"), "idx",
+                       _role(F.col("f"), n_splits).alias("role"))
+
+
+def _role(fold: Column, n_splits: int) -> Column:
     own = fold_of(F.col("idx"), F.col("n"), n_splits)
-    overlaps = (F.col("t0") <= F.col("f.test_end")) & (F.col("t1") >= F.col("f.test_start"))
-    embargoed = F.col("idx").between(F.col("f.last_idx") + 1, F.col("f.embargo_end"))
-    return rows.select(
-        "series_id", F.col("f.fold").alias("fold"), "idx",
-        F.when(own == F.col("f.fold"), "test").when(overlaps, "purged")
-        .when(embargoed, "embargoed").otherwise("train").alias("role"))
+    overlaps = (F.col("t0") <= fold["test_end"]) & (F.col("t1") >= fold["test_start"])
+    embargoed = F.col("idx").between(fold["last_idx"] + 1, fold["embargo_end"])
+    return (F.when(own == fold["fold"], "test").when(overlaps, "purged")
+            .when(embargoed, "embargoed").otherwise("train"))
 
 
 def fold_sizes(folds: DataFrame) -> DataFrame:
@@ -87,12 +91,14 @@ def fold_sizes(folds: DataFrame) -> DataFrame:
 
 def leakage_report(labels: DataFrame, n_splits: int = 5, embargo_pct: float = 0.01) -> DataFrame:
     """What naive folds would leak, and what purge and embargo remove, per series."""
-    sizes = fold_sizes(purged_folds(labels, n_splits, embargo_pct))
-    return sizes.groupBy("series_id").agg(
-        F.max(F.col("train") + F.col("test") + F.col("purged") + F.col("embargoed"))
-        .alias("observations"),
-        F.sum("purged").alias("would_leak_under_naive_kfold"),
-        F.sum(F.col("purged") + F.col("embargoed")).alias("removed_by_purge_and_embargo"),
+    rows = labels.join(fold_bounds(labels, n_splits, embargo_pct), "series_id")
+    roles = F.transform("folds", lambda f: _role(f, n_splits))  # never a row per fold
+    count = lambda *names: F.sum(F.size(F.filter(
+        roles, lambda r: r.isin(*names))).cast("long"))
+    return rows.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("observations"),
+        count("purged").alias("would_leak_under_naive_kfold"),
+        count("purged", "embargoed").alias("removed_by_purge_and_embargo"),
     ).withColumn("leak_rate_naive", F.col("would_leak_under_naive_kfold")
                  / (F.col("observations") * n_splits))
 
@@ -107,7 +113,8 @@ def leakage(split: DataFrame, labels: DataFrame) -> DataFrame:
     windows = rows.groupBy("series_id", "fold").agg(
         F.min(F.when(test, F.col("t0"))).alias("test_start"),
         F.max(F.when(test, F.col("t1"))).alias("test_end"), F.count(F.lit(1)).alias("n"))
-    return (join_summary(rows.where(~test), windows, ["series_id", "fold"], "n")
+    windows = materialise(windows.drop("n"), "windows")
+    return (rows.where(~test).join(windows, ["series_id", "fold"])
             .where((F.col("t0") <= F.col("test_end")) & (F.col("t1") >= F.col("test_start")))
             .groupBy("series_id", "fold")
             .agg(F.count(F.lit(1)).alias("leaking_rows"), F.min("idx").alias("first_idx")))

@@ -231,8 +231,7 @@ def select_universe(spark, sf_dir):
 
 
 @query(f"""WITH {b.FACTS_SQL},
-per AS (SELECT entity_id, count(*) AS n FROM facts WHERE field IN ('line_6', 'line_7')
-        AND version_number = 1 GROUP BY 1)
+per AS (SELECT entity_id, count(*) AS n FROM facts GROUP BY 1)
 SELECT count(*) AS considered, count(n) AS loaded, count(*) - count(n) AS skipped_no_data,
        CAST(0 AS BIGINT) AS skipped_error, CAST(sum(n) AS BIGINT) AS facts,
        round(1 - count(n) / count(*)::DOUBLE, 6) AS skip_rate
@@ -241,6 +240,4 @@ FROM (SELECT CAST(c_custkey AS VARCHAR) AS entity_id FROM customer) LEFT JOIN pe
 def universe_build_report(spark, sf_dir):
     candidates = b.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").cast("string").alias("entity_id"))
-    loaded = b.facts(spark, sf_dir).where(
-        F.col("field").isin("line_6", "line_7") & (F.col("version_number") == 1))
-    return universe.build_report(candidates, loaded).withColumn("skip_rate", r6("skip_rate"))
+    return universe.build_report(candidates, b.facts(spark, sf_dir)).withColumn("skip_rate", r6("skip_rate"))

@@ -335,6 +335,29 @@ def counted_sweep(spark, sf_dir):
                                          scratch_path(spark, "ledger"), "real"))
 
 
+_SMALL = sweep.crossover_grid(4, 12)
+
+
+@query(f"""WITH {b.PRICE_SQL}{b.RETURNS_SQL}
+SELECT entity_id, CAST({2 * len(_SMALL)} AS BIGINT) AS n_trials,
+       CAST({2 * len(_SMALL)} AS BIGINT) AS trials_with_outcome, 'searched' AS status
+FROM rets GROUP BY 1
+UNION ALL SELECT 'first two of ' || min(entity_id), {2 * len(_SMALL)}, 0, 'no trial reported' FROM rets""")
+def search_burden(spark, sf_dir):
+    """Two searches and a repeat of the first: each series counts both, the repeat nothing.
+    A series too short for any parameters keeps its row."""
+    from pyspark.sql import Window as W
+    returns = _returns(spark, sf_dir).select("entity_id", "effective_date", "ret")
+    place = F.row_number().over(W.partitionBy("entity_id").orderBy("effective_date"))
+    first = returns.agg(F.min("entity_id")).first()[0]
+    short = returns.withColumn("_t", place).where((F.col("_t") <= 2) & (F.col("entity_id") == first)) \
+        .drop("_t").withColumn("entity_id", F.lit(f"first two of {first}"))
+    every, path = returns.union(short), scratch_path(spark, "burden")
+    for search, attempt in (("s1", "first"), ("s2", "second"), ("s1", "first")):
+        found = research.counted_sweep(every, _SMALL, path, search, attempt=attempt)
+    return found.select("entity_id", "n_trials", "trials_with_outcome", "status")
+
+
 _SHUFFLE_SQL = f"""
 by_time AS (SELECT entity_id, effective_date, row_number() OVER
    (PARTITION BY entity_id ORDER BY effective_date) AS pos FROM rets),
@@ -507,11 +530,10 @@ def ledger_records(spark, sf_dir):
 
 
 @query(f"""WITH {b.TRIALS_SQL}, r AS (
-  SELECT event_type AS dataset_id, count(*) AS n_runs FROM events WHERE value < 10 GROUP BY 1)
+  SELECT event_type AS dataset_id, count(*) AS n_runs FROM events GROUP BY 1)
 SELECT dataset_id, count(*) AS n_trials, any_value(n_runs) AS n_runs,
        round((epoch_us(TIMESTAMP '2024-03-01 00:00:00') - epoch_us(min(started_at))) / 86400e6, 6)
          AS age_days FROM trials JOIN r USING (dataset_id) GROUP BY 1""")
 def ledger_provenance(spark, sf_dir):
-    failed = b.runs(spark, sf_dir).where("outcome = 'failed'")
-    return ledger.ledger_provenance(b.trials(spark, sf_dir), failed, "2024-03-01 00:00:00"
+    return ledger.ledger_provenance(b.trials(spark, sf_dir), b.runs(spark, sf_dir), "2024-03-01 00:00:00"
                                     ).withColumn("age_days", r6("age_days"))

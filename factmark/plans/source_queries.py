@@ -35,8 +35,7 @@ def observation_csv_facts(spark, sf_dir):
     """A folder of observation CSVs as facts; missing marks are dropped."""
     path = _write_observations(spark, sf_dir)
     facts, _ = observations.observation_facts(spark, path, entity_pattern=r"entity_id=([^/]+)/")
-    return facts.select(F.regexp_replace("entity_id", "%20", " ").alias("entity_id"), "field",
-                        "value", "effective_date", "knowledge_date")
+    return facts.select("entity_id", "field", "value", "effective_date", "knowledge_date")
 
 
 _VINTAGES = ["1997-06-30", "1999-06-30", "2001-06-30"]
@@ -247,7 +246,7 @@ SELECT CAST(version_number AS INTEGER) AS version_number, count(*) AS row_count,
 def replay_check(spark, sf_dir):
     """A recorded result against a recomputation in which one group's values changed."""
     facts = b.facts(spark, sf_dir).select("version_number", *versions.CONTENT)
-    again = facts.repartition(7, "value").withColumn("value", F.when(
+    again = facts.repartition("value").withColumn("value", F.when(
         F.col("version_number") == 2, F.col("value") + 1).otherwise(F.col("value")))
     out = fingerprint.replay_check(fingerprint.fingerprint(facts, ["version_number"]),
                                    fingerprint.fingerprint(again, ["version_number"]),
@@ -259,7 +258,7 @@ def replay_check(spark, sf_dir):
 
 _UNIVERSE_SQL = f"""{_FILING_SQL},
 chosen AS (SELECT entity_id FROM (SELECT DISTINCT 'CIK' || lpad(CAST(o_custkey AS VARCHAR), 10, '0')
-           AS entity_id FROM orders) ORDER BY 1 LIMIT 800),
+           AS entity_id FROM orders)),
 uf AS (SELECT f.* FROM filing f JOIN chosen USING (entity_id) WHERE knowledge_date >= effective_date),
 ends AS (SELECT entity_id, effective_date, first(value ORDER BY knowledge_date, value) AS honest,
          min(knowledge_date) AS k0, last(value ORDER BY knowledge_date, value) AS hindsight
@@ -280,16 +279,14 @@ SELECT (SELECT count(*) FROM chosen) AS considered,
        count(*) FILTER (ra * 100 // n <> rb * 100 // n) AS changed_bucket FROM ranked
 HAVING count(*) >= 100""")
 def universe_to_churn(spark, sf_dir):
-    """Documents to rank churn: select by number, parse, validate, load once, rank twice."""
+    """Documents to rank churn: parse, validate, load once, rank twice; all companies."""
     from ..operators.validation import split_facts
     documents = _documents(spark, sf_dir)
-    chosen = universe.select_universe(documents, 800)
-    picked = documents.join(chosen, "cik", "left_semi")
-    facts, _ = split_facts(filings.filing_facts(picked, forms=("10-K",)))
+    facts, _ = split_facts(filings.filing_facts(documents, forms=("10-K",)))
     root = scratch_path(spark, "universe")
     versions.append_facts(spark, root, "orders", facts, _registered(spark))
     stored = versions.read_facts(spark, root, "orders")
-    candidates = picked.select("entity_id").distinct()
+    candidates = documents.select("entity_id").distinct()
     report = universe.build_report(candidates, stored).select("considered", "loaded", "facts")
     churn = universe.rank_churn(stored, "book_equity", "1999-06-30", 100).select(
         "companies", "restated", r6("spearman").alias("spearman"), "changed_bucket")
@@ -327,7 +324,6 @@ def gated_search(spark, sf_dir):
     from ..errors import HoldoutViolation
     facts, _ = observations.observation_facts(
         spark, _write_full_prices(spark, sf_dir), entity_pattern=r"entity_id=([^/]+)/")
-    facts = facts.withColumn("entity_id", F.regexp_replace("entity_id", "%20", " "))
     root, log, known = (scratch_path(spark, "prices"), scratch_path(spark, "ledger"),
                         spark.createDataFrame([("prices", "daily", True, None)], DATASETS))
     versions.append_facts(spark, root, "prices", facts, known)
@@ -340,9 +336,8 @@ def gated_search(spark, sf_dir):
         refused = True
     found = research.gated_search(spark, root, "prices", "close", known, held, log, _GATE_PARAMS,
                                   end="2000-12-31", search_id="in-sample")
-    replay = research.replay_search(spark, root, "prices", "close", log,
-                                    scratch_path(spark, "replay"), _GATE_PARAMS,
-                                    end="2000-12-31", search_id="in-sample")
+    replay = research.replay_search(spark, root, log, found.first().run_id,
+                                    scratch_path(spark, "replay"))
     from ..operators.ordering import one_row
     again = one_row(replay.select("reproduced"))
     return found.select("entity_id", "sample_length", "n_trials", "trials_with_outcome",
@@ -350,6 +345,29 @@ def gated_search(spark, sf_dir):
                         F.lit(refused).alias("holdout_refused"))
 
 
+@query("""SELECT 'completed' AS outcome, 'in-sample' AS search_id, false AS has_error, true AS ended
+UNION ALL SELECT 'failed', 'crossed windows', true, true""")
+def failed_runs(spark, sf_dir):
+    """The log that the gate writes, searched: one run that ended well and one that failed."""
+    from ..errors import ResearchError
+    from ..operators import ledger
+    facts, _ = observations.observation_facts(
+        spark, _write_full_prices(spark, sf_dir), entity_pattern=r"entity_id=([^/]+)/")
+    root, log, known = (scratch_path(spark, "prices"), scratch_path(spark, "ledger"),
+                        spark.createDataFrame([("prices", "daily", True, None)], DATASETS))
+    versions.append_facts(spark, root, "prices", facts, known)
+    held = spark.createDataFrame([], "dataset_id string, start_date date, end_date date")
+    for search, params in (("in-sample", _GATE_PARAMS), ("crossed windows", [{"fast": 9, "slow": 3}])):
+        try:
+            research.gated_search(spark, root, "prices", "close", known, held, log, params,
+                                  search_id=search)
+        except ResearchError:
+            continue  # the log has it
+    runs = ledger.search_runs(research.run_records(spark, log), "crossover", "close")
+    return runs.select("outcome", "search_id", F.col("error").isNotNull().alias("has_error"),
+                       (F.col("ended_at") >= F.col("started_at")).alias("ended"))
+
+
 def _write_full_prices(spark, sf_dir) -> str:
     path = scratch_path(spark, "closes")
     (b.prices(spark, sf_dir).select(

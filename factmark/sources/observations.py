@@ -6,7 +6,7 @@ forward. Header lines are recognised by content, so a large file can be split.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import FACT_IN, conform
@@ -24,7 +24,14 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
              .schema("observed string, raw string").option("mode", "PERMISSIVE").csv(path)
              .select(F.col("_metadata.file_path").alias("path"), F.trim("observed").alias("observed"),
                      F.trim("raw").alias("raw")))
-    return lines.withColumn("is_header", F.lower("observed").startswith("observation"))
+    return lines.withColumn("is_header", F.coalesce(
+        F.lower("observed").startswith("observation"), F.lit(False)))
+
+
+def _from_path(pattern: str) -> Column:
+    """Part of a file's path, as it was before the path was written as a URL."""
+    part = F.regexp_extract("path", pattern, 1)
+    return F.url_decode(F.replace(part, F.lit("+"), F.lit("%2B")))
 
 
 def header_problems(spark: SparkSession, path: str) -> DataFrame:
@@ -56,7 +63,7 @@ def observation_facts(spark: SparkSession, path: str, field: str = "close",
                       ) -> tuple[DataFrame, DataFrame]:
     """(facts, rejected lines). A closing level is known at the close, so both dates agree."""
     facts = _observations(spark, path).withColumns({
-        "entity_id": F.regexp_extract("path", entity_pattern, 1), "field": F.lit(field),
+        "entity_id": _from_path(entity_pattern), "field": F.lit(field),
         "knowledge_date": F.col("effective_date"), "source": F.lit(source)})
     return _split(facts)
 
@@ -70,12 +77,14 @@ def vintage_facts(spark: SparkSession, path: str, field: str = "value", source:
     """
     stamp = F.regexp_extract("path", vintage_pattern, 1)
     facts = _observations(spark, path).withColumns({
-        "entity_id": F.regexp_extract("path", entity_pattern, 1), "field": F.lit(field),
+        "entity_id": _from_path(entity_pattern), "field": F.lit(field),
         "knowledge_date": F.to_date(F.when(stamp != "", stamp), "yyyyMMdd")})
     facts = facts.withColumn("source", F.concat(
         F.lit(source + "@"), F.col("knowledge_date").cast("string")))
     good, bad = _split(facts.where(
         F.col("effective_date").isNull() | F.col("knowledge_date").isNull()
         | (F.col("effective_date") <= F.col("knowledge_date"))))
-    undated = F.col("knowledge_date").isNull()
-    return good.where(~undated), bad
+    undated = facts.where(F.col("knowledge_date").isNull() & F.col("value").isNotNull()
+                          & F.col("effective_date").isNotNull() & (F.col("entity_id") != ""))
+    return (good.where(F.col("knowledge_date").isNotNull()), bad.union(undated.select(
+        "path", "observed", "raw", F.lit("no vintage date in the path").alias("reason"))))

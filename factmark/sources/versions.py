@@ -14,6 +14,7 @@ from pyspark.sql.utils import AnalysisException
 from ..errors import PointInTimeError, ResearchError
 from ..operators.bitemporal import mark_restatements
 from ..operators.fingerprint import multiset_hash
+from ..operators.validation import split_facts
 from ..schemas import FACT_IN, FACTS, VERSIONS, conform
 from ..session import materialise
 
@@ -75,15 +76,19 @@ def append_facts(spark: SparkSession, root: str, dataset_id: str, facts: DataFra
     # The load is read to be hashed, to be marked and to be written: the version must hold
     # exactly the rows its hash describes, so they are fixed first.
     facts = materialise(conform(facts, FACT_IN), "load")
+    for row in split_facts(facts)[1].take(1):
+        raise PointInTimeError(f"a fact of this load cannot be stored: {row.reason} "
+                               f"(entity {row.entity_id!r}, field {row.field!r})")
     summary = content_summary(facts).first()
     if not summary.row_count:
         raise ResearchError("a version with no facts is not a version")
-    known = versions(spark, root, dataset_id).select(
-        "version_id", "version_number", "content_hash").collect()
-    for row in known:
-        if row.content_hash == summary.content_hash:
-            return row.version_id
-    number = 1 + max((row.version_number for row in known), default=0)
+    same = F.col("content_hash") == summary.content_hash
+    catalogue = versions(spark, root, dataset_id).agg(
+        F.min(F.when(same, F.struct("version_number", "version_id"))).alias("same"),
+        F.max("version_number").alias("newest")).first()
+    if catalogue.same is not None:
+        return catalogue.same.version_id
+    known, number = catalogue.newest is not None, 1 + (catalogue.newest or 0)
     version_id = f"{dataset_id}@v{number}"
     if mark:
         stored = read_facts(spark, root, dataset_id) if known else None

@@ -56,9 +56,21 @@ def flags(df):
                   for r in df.collect())
 
 
-@pytest.mark.parametrize("hot_rows", [4_000_000, 0])
-def test_restatements_inside_one_batch(facts_of, hot_rows):
-    marked = bitemporal.mark_restatements(facts_of(REVISED), hot_rows=hot_rows)
+def test_a_period_that_a_third_of_the_batch_revises(facts_of):
+    rows = [("A", "x", float(i % 5), "2020-01-01", f"2020-03-{1 + i % 28:02d}") for i in range(300)]
+    rows += [(f"E{i}", "x", 1.0, "2020-01-01", "2020-02-01") for i in range(600)]
+    marked = bitemporal.mark_restatements(facts_of(rows)).collect()
+    assert len(marked) == len(rows)
+    assert all(r.is_restatement == (r.entity_id == "A" and r.value != 0.0) for r in marked)
+
+
+def test_marking_reads_the_batch_and_its_baseline_once(facts_of):
+    plan = bitemporal.mark_restatements(facts_of(REVISED))._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() == 2
+
+
+def test_restatements_inside_one_batch(facts_of):
+    marked = bitemporal.mark_restatements(facts_of(REVISED))
     assert flags(marked) == [("2009-09-26", "2009-10-27", False), ("2009-09-26", "2010-10-27", True),
                              ("2009-09-26", "2011-10-26", True), ("2010-09-25", "2010-10-27", False)]
 

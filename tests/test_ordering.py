@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from factmark.operators import ordering, skew
+from factmark.operators import ordering
 
 
 @pytest.fixture(scope="module")
@@ -58,31 +58,6 @@ def test_quantile_of_one_value(spark):
     assert {r.quantile for r in ordering.exact_quantiles(df, "v", [0.05, 0.5]).collect()} == {4.0}
 
 
-@pytest.mark.parametrize("hot_rows", [10 ** 6, 500, 0])
-def test_summary_join_is_whole_whatever_is_hot(skewed, hot_rows):
-    df, rows = skewed
-    summary = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
-    joined = skew.join_summary(df, summary, ["g"], "n", hot_rows)
-    assert joined.columns == ["g", "id", "v", "n", "mean"]
-    plain = {r.id: (r.n, r.mean) for r in df.join(summary, "g").collect()}
-    assert {r.id: (r.n, r.mean) for r in joined.collect()} == plain and len(plain) == len(rows)
-
-
-def test_hot_rows_are_not_gathered(spark, skewed):
-    """Rows of a hot key stay spread: no task gets them all."""
-    df, _ = skewed
-    summary = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        joined = skew.join_summary(df, summary, ["g"], "n", 1000)
-        tasks = joined.where("g = 'hot'").select(F.spark_partition_id().alias("t")).distinct()
-        assert tasks.count() > 2
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
 @pytest.mark.parametrize("n, k", [(7, 5), (10, 5), (12, 5), (5, 5), (1003, 7)])
 def test_folds_match_array_split(spark, n, k):
     rows = spark.range(n).select("id", ordering.fold_of(F.col("id"), F.lit(n), k).alias("f"))

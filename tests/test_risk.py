@@ -136,8 +136,10 @@ def test_dependent_assets_have_no_weights(spark):
     x = np.random.default_rng(5).normal(0, 0.01, (50, 1))
     twin = allocation.return_moments(_asset_returns(spark, np.hstack([x, 0 * x]), "ab"))
     assert [r.status for r in twin.collect()] == ["singular"]
-    wide = allocation.return_moments(_asset_returns(spark, np.hstack([x, x]), "ab"), max_assets=1)
-    assert [r.status for r in wide.collect()] == ["too many assets"]
+    wide = np.random.default_rng(6).normal(0, 0.01, (4, 30))  # more assets than dates
+    names = [f"n{i}" for i in range(30)]
+    moments = allocation.return_moments(_asset_returns(spark, wide, names)).first()
+    assert (moments.status, moments.n_dates, len(moments["mean"])) == ("singular", 4, 30)
     one = allocation.return_moments(_asset_returns(spark, x[:1], "a"))
     assert [r.status for r in one.collect()] == ["fewer than two dates"]
     assert allocation.kelly_weights(twin).count() == 0
