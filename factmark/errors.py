@@ -10,7 +10,7 @@ class IngestError(ResearchError):
 
 
 class PointInTimeError(ResearchError):
-    """The dataset has made no point-in-time guarantee."""
+    """What was known when cannot be answered for this data."""
 
 
 class LookAheadContamination(PointInTimeError):

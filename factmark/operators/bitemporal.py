@@ -199,11 +199,20 @@ def wide_panel(observations: DataFrame, entities: Sequence[str],
                complete_cases: bool = False) -> DataFrame:
     """One row per date and one column per entity; absent is NULL, never filled."""
     if not entities:
-        raise ResearchError("no entities requested")
+        raise ResearchError("a panel needs at least one entity")
+    held = {r.entity_id for r in observations.where(F.col("entity_id").isin(list(entities)))
+            .select("entity_id").distinct().collect()}  # at most those asked for
+    if missing := [e for e in entities if e not in held]:
+        raise ResearchError(f"nothing is stored for {', '.join(missing)}")
     wide = (observations.where(F.col("entity_id").isin(list(entities)))
             .groupBy("effective_date").pivot("entity_id", list(entities))
             .agg(F.first("value")))
-    return wide.na.drop("any", subset=list(entities)) if complete_cases else wide
+    if not complete_cases:
+        return wide
+    whole = wide.na.drop("any", subset=list(entities))
+    if whole.isEmpty():
+        raise ResearchError("these entities share no date")
+    return whole
 
 
 def complete_dates(observations: DataFrame) -> DataFrame:

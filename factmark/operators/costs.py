@@ -23,7 +23,7 @@ def _market() -> dict[str, Column]:
 def trade_costs(trades: DataFrame, instruments: DataFrame, days: float = 1.0) -> DataFrame:
     """Orders (symbol, shares) with every cost component as a column."""
     if days <= 0:
-        raise ResearchError("execution horizon must be positive")
+        raise ResearchError("an order needs a positive number of days")
     costs = execution_cost(F.col("shares"), **_market(), days=days)
     return _in_market(trades, instruments).select(
         *trades.columns, *[c.alias(name) for name, c in costs.items()])
@@ -66,9 +66,9 @@ def capacity(instruments: DataFrame, gross_sharpe: float, turnover_per_year: flo
     search is one fold over a short sequence. Infinite if the curve never crosses.
     """
     if gross_sharpe <= 0:
-        raise ResearchError("capacity is undefined for a non-positive gross Sharpe")
+        raise ResearchError("gross_sharpe must be above zero for costs to halve it")
     if not 0 < threshold < 1:
-        raise ResearchError("threshold must be in (0, 1)")
+        raise ResearchError("threshold is a share strictly between none and all")
     rounds = math.ceil(math.log2(math.log(max_aum) / math.log(ratio)))
     target = gross_sharpe * threshold
 

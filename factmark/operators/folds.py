@@ -38,6 +38,14 @@ def label_problems(labels: DataFrame, n_splits: int) -> DataFrame:
     return backward.unionByName(short).unionByName(unsorted)
 
 
+def split_labels(labels: DataFrame, n_splits: int) -> tuple[DataFrame, DataFrame]:
+    """(labels of series that can be split, refused labels with every reason)."""
+    problems = materialise(label_problems(labels, n_splits).groupBy("series_id").agg(
+        F.array_sort(F.collect_set("reason")).alias("reasons")), "refused")  # three at most
+    return (labels.join(problems, "series_id", "left_anti"),
+            labels.join(problems, "series_id"))
+
+
 def _assigned(labels: DataFrame, n_splits: int) -> DataFrame:
     if n_splits < 2:
         raise ResearchError("n_splits must be at least 2")
@@ -49,8 +57,8 @@ def _assigned(labels: DataFrame, n_splits: int) -> DataFrame:
 def fold_bounds(labels: DataFrame, n_splits: int = 5, embargo_pct: float = 0.01) -> DataFrame:
     """One row per series with an array of its fold windows.
 
-    The window runs to the last label *resolution* in the fold. The embargo is
-    counted in rows from the fold's last row, so a long label can absorb it.
+    A test window ends when its last label is settled. The embargo counts rows after
+    the fold's last one, whatever time they cover.
     """
     if not 0.0 <= embargo_pct < 0.5:
         raise ResearchError("embargo_pct must be in [0, 0.5)")

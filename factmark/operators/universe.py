@@ -13,11 +13,11 @@ from .ordering import bucket_of, with_position
 def select_universe(companies: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` companies by registration number, before looking at any data.
 
-    The number says nothing about outcome; size, history length or completeness
-    would all select survivors.
+    Numbers are given out before anything is known of a company's fate. Picking by what
+    is visible today would leave out those that failed.
     """
     if limit < 1:
-        raise ResearchError("limit must be at least 1")
+        raise ResearchError("a universe needs room for one company")
     return companies.select("cik").distinct().orderBy("cik").limit(limit)
 
 
@@ -51,9 +51,9 @@ def rank_and_bucket(values: DataFrame, column: str, buckets: int, prefix: str,
 
 
 def rank_churn(facts: DataFrame, field: str, known_by, buckets: int = 10) -> DataFrame:
-    """How far a cross-section's ranking moves when figures nobody had are used."""
+    """Ranks by first reports beside ranks by today's figures, over all companies."""
     if buckets < 2:
-        raise ResearchError("buckets must be at least 2")
+        raise ResearchError("one bucket cannot be moved between")
     pairs = honest_and_hindsight(facts, field, known_by).where(
         F.col("honest").isNotNull() & F.col("hindsight").isNotNull())
     ranked = rank_and_bucket(pairs, "honest", buckets, "honest")

@@ -117,7 +117,7 @@ def null_benchmark(returns: DataFrame, params: list[dict], ledger_path: str, sea
 # --- published tables -------------------------------------------------------------------
 
 def deflation_table(results: DataFrame, trial_counts: list[int], sample_length: int) -> DataFrame:
-    """One observed Sharpe per row, deflated as if the search had been larger or smaller."""
+    """Each result once per assumed trial count, with a normal series of one length."""
     counts = F.explode(F.array(*[F.lit(n).cast("long") for n in trial_counts])).alias("n_trials")
     rows = results.select("entity_id", "observed_sharpe", "var_trials", counts).withColumns({
         "sample_length": F.lit(sample_length), "skew": F.lit(0.0), "kurtosis": F.lit(3.0)})
@@ -233,6 +233,8 @@ def gated_search(spark: SparkSession, root: str, dataset_id: str, field: str,
     require_point_in_time(datasets, dataset_id)
     panel = series(store.read_facts(spark, root, dataset_id), field, known_by, end=end)
     version = admit(spark, root, dataset_id, datasets, periods, panel)
+    if len(panel.limit(3).collect()) < 3:
+        raise ResearchError(f"{dataset_id!r} has no two returns of {field!r} to search over")
     run_id = run_id or uuid.uuid4().hex
     words = [None if x is None else str(x) for x in (known_by, end)]
     opened = [(run_id, search_id, dataset_id, version, int(version.rpartition("@v")[2]), field,

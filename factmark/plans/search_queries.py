@@ -235,7 +235,7 @@ _TABLE_SQL = f"""{b.TRIALS_SQL}, results AS (
 SELECT entity_id, n_trials, deflated_sharpe, deflated_sharpe >= 0.95 AND NOT sample_too_short
        AS significant FROM d""")
 def deflation_table(spark, sf_dir):
-    """One unchanged result as the search around it grows."""
+    """A dataset's best trial, deflated for four sizes of search."""
     per = b.trials(spark, sf_dir).groupBy(F.col("dataset_id").alias("entity_id")).agg(
         F.var_samp("sharpe").alias("var_trials"), F.max("sharpe").alias("observed_sharpe"))
     return research.deflation_table(per, [10, 100, 1000, 5000], 1250).select(

@@ -81,7 +81,7 @@ def append_facts(spark: SparkSession, root: str, dataset_id: str, facts: DataFra
                                f"(entity {row.entity_id!r}, field {row.field!r})")
     summary = content_summary(facts).first()
     if not summary.row_count:
-        raise ResearchError("a version with no facts is not a version")
+        raise ResearchError(f"nothing to store for {dataset_id!r}: the load is empty")
     same = F.col("content_hash") == summary.content_hash
     catalogue = versions(spark, root, dataset_id).agg(
         F.min(F.when(same, F.struct("version_number", "version_id"))).alias("same"),

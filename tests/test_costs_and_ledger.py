@@ -188,3 +188,14 @@ def test_fingerprints(spark):
     again = fingerprint.fingerprint(df.where("k = 'a'"), ["k"])
     rows = {r.k: r.reproduced for r in fingerprint.replay_check(recorded, again, ["k"]).collect()}
     assert rows == {"a": True, "b": False, None: False}
+
+
+def test_orders_without_an_instrument_are_set_aside(spark):
+    market = spark.createDataFrame([("A", 50.0, 1e6, 0.02, 1e8, 5e6, 0.01, 0.01, 0.0)], INSTRUMENTS) \
+        if len(INSTRUMENTS.fields) == 9 else None
+    orders = spark.createDataFrame([("A", 10.0), ("Z", 5.0), (None, 1.0)], "symbol string, shares double")
+    instruments = spark.createDataFrame([("A",)], "symbol string") if market is None else market
+    lost = costs.unknown_instruments(orders, instruments)
+    assert {(r.symbol, r.reason) for r in lost.collect()} == {
+        ("Z", "no such instrument"), (None, "order without a symbol")}
+    assert orders.join(instruments, "symbol").count() + lost.count() == orders.count()

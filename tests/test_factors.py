@@ -93,3 +93,18 @@ def test_causality(panel_of):
 def test_registry_states_directions(spark):
     rows = {r.name: r.direction for r in factors.registry(spark).collect()}
     assert rows["momentum"] == "positive" and rows["size"] == "negative" and len(rows) == 5
+
+
+def test_a_total_loss_ends_at_nothing(spark):
+    rows = [("a", day("2020-01-01"), 0.1), ("a", day("2020-01-02"), -1.0), ("a", day("2020-01-03"), 0.5)]
+    panel = spark.createDataFrame(rows, "entity_id string, effective_date date, ret double")
+    got = [r.price for r in factors.cumulative_price(panel).orderBy("effective_date").collect()]
+    assert got == [pytest.approx(1.1), 0.0, 0.0]
+
+
+def test_caps_without_a_ratio_are_set_aside(spark):
+    rows = [("a", day("2020-01-01"), 5.0), ("a", day("2020-01-02"), 0.0), ("b", day("2020-01-01"), None)]
+    caps = spark.createDataFrame(rows, "entity_id string, effective_date date, value double")
+    assert {r.reason for r in factors.unusable_caps(caps).collect()} == {
+        "market cap is not positive", "no market cap"}
+    assert factors.unusable_caps(caps).count() + caps.where("value > 0").count() == 3

@@ -93,3 +93,17 @@ def test_lookahead_audit(spark):
     rows = {r.decision_id: (r.future_visible, r.extra_visible)
             for r in folds.lookahead_audit(decisions, inputs).collect()}
     assert rows == {1: (False, False), 2: (True, False), 3: (False, True), 4: (False, False)}
+
+
+def test_bad_series_are_refused_whole_and_nothing_is_lost(spark):
+    rows = [("good", i, day(f"2020-01-{i + 1:02d}"), day(f"2020-01-{i + 3:02d}")) for i in range(12)]
+    rows += [("back", i, day(f"2020-01-{i + 2:02d}"), day("2020-01-01")) for i in range(12)]
+    rows += [("mixed", i, day(f"2020-01-{20 - i:02d}"), day("2020-02-01")) for i in range(12)]
+    rows += [("short", 0, day("2020-01-01"), day("2020-01-02"))]
+    labels = spark.createDataFrame(rows, "series_id string, idx long, t0 date, t1 date")
+    good, refused = folds.split_labels(labels, 5)
+    assert {r.series_id for r in good.collect()} == {"good"}
+    assert {r.series_id: list(r.reasons) for r in refused.collect()} == {
+        "back": ["label ends before it starts"], "mixed": ["t0 is not ascending"],
+        "short": ["fewer rows than folds"]}
+    assert good.count() + refused.count() == len(rows)

@@ -195,3 +195,31 @@ def test_empty_and_unregistered_loads_are_refused(spark, store, facts_of):
     with pytest.raises(PointInTimeError):
         versions.append_facts(spark, root, "other", facts_of(LOAD), catalog)
     assert versions.versions(spark, root).count() == 0
+
+
+def test_no_line_and_no_file_is_lost(spark, tmp_path):
+    (tmp_path / "S P+500.csv").write_text("observation_date,X\n2020-01-01,5\n,7\n2020-01-03,.\nwrong,1\n")
+    good, bad = observations.observation_facts(spark, str(tmp_path))
+    assert [(r.entity_id, r.value) for r in good.collect()] == [("S P+500", 5.0)]
+    assert sorted((r.observed or "", r.raw) for r in bad.collect()) == [("", "7"), ("wrong", "1")]
+    good, bad = observations.vintage_facts(spark, str(tmp_path), entity_pattern=r"([^/]+)\.csv$")
+    assert good.count() == 0
+    assert {r.reason for r in bad.collect()} == {"not a date and a number", "no vintage date in the path"}
+    assert bad.count() == 3
+
+
+def test_a_concept_document_answers_for_its_own_tag(spark):
+    payload = json.dumps({"cik": 1, "taxonomy": "us-gaap", "tag": "StockholdersEquity",
+                          "units": {"USD": [_record("2020-12-31", 5.0, "2021-02-01")]}})
+    documents = spark.createDataFrame([("CIK1", 1, payload)], "entity_id string, cik long, payload string")
+    assert [r.field for r in filings.filing_facts(documents).collect()] == ["book_equity"]
+
+
+def test_a_load_with_a_fact_that_cannot_be_stored_is_refused(spark, tmp_path):
+    catalog = spark.createDataFrame([("d", None, True, None)], DATASETS)
+    for entity, known in (("a", "2019-01-01"), (None, "2020-02-01")):
+        facts = spark.sql(f"SELECT {'NULL' if entity is None else repr(entity)} AS entity_id, 'x' AS field, "
+                          f"1D AS value, DATE '2020-01-01' AS effective_date, DATE '{known}' AS knowledge_date")
+        with pytest.raises(PointInTimeError):
+            versions.append_facts(spark, str(tmp_path / "s"), "d", facts, catalog)
+    assert versions.versions(spark, str(tmp_path / "s")).count() == 0
