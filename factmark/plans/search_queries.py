@@ -537,3 +537,41 @@ SELECT dataset_id, count(*) AS n_trials, any_value(n_runs) AS n_runs,
 def ledger_provenance(spark, sf_dir):
     return ledger.ledger_provenance(b.trials(spark, sf_dir), b.runs(spark, sf_dir), "2024-03-01 00:00:00"
                                     ).withColumn("age_days", r6("age_days"))
+
+
+@query("""WITH p AS (SELECT CAST(o_custkey AS VARCHAR) AS key, CAST(o_orderdate AS DATE) AS s FROM orders),
+r AS (SELECT p_name AS key, p_brand || '|' || p_type AS said FROM part)
+SELECT key, 'second holdout period' AS rule FROM p GROUP BY 1 HAVING min(s) <> max(s)
+UNION ALL SELECT key, 'edited registration' FROM r GROUP BY 1 HAVING min(said) <> max(said)""")
+def holdout_violations(spark, sf_dir):
+    """Orders stand in for holdout periods of a customer, parts for registrations by name."""
+    day = F.col("o_orderdate").cast("date")
+    periods = b.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").cast("string").alias("dataset_id"), day.alias("start_date"),
+        F.date_add(day, 30).alias("end_date"))
+    registrations = b.table(spark, sf_dir, "part").select(
+        F.col("p_name").alias("registration_id"), F.col("p_brand").alias("dataset_id"),
+        F.col("p_type").alias("strategy_family"), F.lit("h").alias("hypothesis"),
+        F.lit("e").alias("expected_result"))
+    return ledger.holdout_violations(periods, registrations)
+
+
+@query("""WITH log AS (
+  SELECT CAST(event_id // 3 AS VARCHAR) AS run_id, event_type = 'click' AS started,
+         CAST(user_id % 2 AS VARCHAR) AS identity,
+         CASE WHEN event_type <> 'click' THEN CAST(CAST(floor(value / 20) AS BIGINT) AS VARCHAR) END AS h
+  FROM events),
+per AS (SELECT run_id, count(*) FILTER (started) AS starts, min(identity) <> max(identity) AS moved,
+               min(h) <> max(h) AS rewritten, min(h) IS NOT NULL AS has FROM log GROUP BY 1)
+SELECT run_id, 'changed identity' AS rule FROM per WHERE moved
+UNION ALL SELECT run_id, 'result rewritten' FROM per WHERE rewritten
+UNION ALL SELECT run_id, 'result without start' FROM per WHERE has AND starts = 0""")
+def run_violations(spark, sf_dir):
+    """Three events stand in for the log of one run: clicks start it, others report."""
+    started = F.col("event_type") == "click"
+    log = b.table(spark, sf_dir, "events").select(
+        F.floor(F.col("event_id") / 3).cast("string").alias("run_id"),
+        F.when(started, "started").otherwise("completed").alias("kind"),
+        (F.col("user_id") % 2).cast("string").alias("identity"),
+        F.when(~started, F.floor(F.col("value") / 20).cast("string")).alias("result_hash"))
+    return ledger.run_violations(log)
