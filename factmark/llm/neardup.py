@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
@@ -18,8 +19,10 @@ ROWS = 5
 #: Most probable share of alike pairs (at exactly the threshold) that never meet in a band.
 MISS = 1e-6
 #: Hubs of a bucket in the first round after the star, and their growth from round to round.
-HUBS = 4
+HUBS = 16
 
+_LINK = "a long, b long"
+_COMPARED = "a long, b long, n_b long, common long, linked boolean, extra array<long>"
 _SIGNED = ("set_a long, set_b long, n_shingles long, rep long, ids array<long>, "
            "bands array<long>")
 
@@ -41,14 +44,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
 
     How: each task signs its texts by one-permutation hashing with optimal densification
     and merges equal sets, so that exact copies are one row per task. Equal sets of all
-    tasks become one node. Bands of ``rows`` bins, as many as ``miss`` asks for, put
-    nodes into buckets, and each node is first compared with one hub only, the smallest
-    node of the bucket it shares most often: a star, never more edges than nodes. What
-    then still holds two components in one bucket is settled in rounds: members outside
-    the bucket's largest component serve as hubs, four times as many each round, until
-    all of them have, so every pair of a bucket whose ends are not yet connected is
-    compared at last and none that is connected. No bucket is capped, and no bucket is
-    gathered in a task: buckets are only aggregated and joined.
+    tasks become one node. Bands of ``rows`` bins, as many as ``miss`` asks for, put nodes
+    into buckets. A bucket's hub is its node with the most company over all bands: among
+    copies of one text the one in the middle. Each node is first compared with the hub it
+    shares most buckets with: a star, never more edges than nodes. Where a bucket then
+    still holds two components, all its members are compared with its hub, and what each
+    has in common with it tells exactly which of them can be alike: two texts that are not
+    both linked to the hub must share a shingle that the hub lacks, or share enough of
+    the hub. Shared shingles make smaller buckets (only the first in hash order that a
+    link needs), in which members outside the largest component serve as hubs, four times
+    as many each round, until all have. So every pair that met in a band is linked,
+    connected or refuted; no bucket is capped or gathered in a task, they are only
+    aggregated and joined.
     """
     spark = docs.sparkSession
     checkpoint_root(spark)
@@ -59,60 +66,81 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
         return _signed(batches, width, bands, rows)
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _confirmed(batches, width, percent)
+        return _compared(batches, width, percent, False)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _compared(batches, width, percent, True)
 
     signed = texts.mapInArrow(sign, _SIGNED).checkpoint()
     nodes = (signed.where("n_shingles > 0 AND rep IS NOT NULL").groupBy("set_a", "set_b")
              .agg(F.min("rep").alias("node"), F.min("n_shingles").alias("n"),
                   F.first("bands").alias("bands")).checkpoint())
     placed = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    hubs = (placed.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("hub"),
-                                         F.count("*").alias("members"))
-            .where("members > 1").drop("members").checkpoint())
-    members = placed.join(hubs, "bucket").checkpoint()
+    crowd = placed.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1") \
+        .checkpoint()
+    company = F.sum("crowd").over(W.partitionBy("node"))  # a row per band
+    met = placed.join(crowd, "bucket").withColumn("company", company).drop("crowd").checkpoint()
+    hubs = met.groupBy("bucket").agg(
+        F.max(F.struct("company", -F.col("node"), "node", "n")).alias("hub")).select(
+            "bucket", F.struct("hub.company", "hub.node", "hub.n").alias("hub")).checkpoint()
+    members = met.join(hubs, "bucket").checkpoint()
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     near = (texts.join(wanted, "doc_id", "left_semi")
             .select(F.col("doc_id").alias("node"), "text").checkpoint())
 
-    star = (members.where("hub.node < node").groupBy("node", "n", "hub")
+    star = (members.where("hub.node != node").repartition("node").groupBy("node", "n", "hub")
             .agg(F.count("*").alias("shared"))
-            .groupBy("node", "n").agg(F.max_by("hub", F.struct("shared", -F.col("hub.node")))
-                                      .alias("hub"))
-            .select(F.col("hub.node").alias("a"), F.col("node").alias("b"),
-                    F.col("hub.n").alias("n_a"), F.col("n").alias("n_b")))
-    tested = _sized(star, percent).checkpoint()
-    links = _links(tested, near, confirm)
+            .groupBy("node", "n").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub")))
+    tested = _pairs(star, "hub.node", "hub.n", "node", "n", percent).checkpoint()
+    links = _texts(tested, near).mapInArrow(confirm, _LINK).checkpoint()
+
+    # Buckets whose members are not all linked to one hub: compare all with their own hub.
+    chosen = star.select("node", F.col("hub.node").alias("to")).join(
+        links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(
+            links.select("b", "a")), ["node", "to"])
+    state = members.select("bucket", "node", "hub").join(
+        chosen.withColumnRenamed("to", "component"), "node", "left").withColumn(
+            "component", F.coalesce("component", "node")).checkpoint()
+    open_ = state.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")) \
+        .where("p != q").select("bucket").checkpoint()
+    seen = _texts(state.join(open_, "bucket").where("hub.node != node").select(
+        F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), near) \
+        .mapInArrow(compare, _COMPARED).checkpoint()
+    links = links.union(seen.where("linked").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).checkpoint()
     component = components(links)
-
-    open_ = members.select("bucket", "node", "n")
+    beside = seen.join(component.withColumnRenamed("node", "b"), "b", "left").withColumn(
+        "component", F.coalesce("component", "b")).checkpoint()
+
+    # Two that are not both linked to their hub, by what they share with it or beside it.
+    direct = _enough_of_hub(beside, percent)
+    small = beside.select(F.explode("extra").alias("shingle"), "a", F.col("b").alias("node"),
+                          F.col("n_b").alias("n"), "common").select(
+        F.xxhash64("a", "shingle").alias("bucket"), "node", "n", "common")
     allowed = HUBS
     while True:
-        live = _unsettled(open_, component)
-        most = live.agg(F.max("minor")).first()[0]
-        if most is None:
-            break
+        live = _unsettled(small, component)
+        most = live.agg(F.max("minor")).first()[0] or 0
         hub = live.where(
             (F.col("component") != F.col("main"))
             & (F.pmod(F.xxhash64("bucket", "node"), F.lit(1 << 20)) * F.col("minor")
                < allowed * (1 << 20)))
-        pairs = (hub.alias("h").join(live.alias("m"), "bucket")
-                 .where("h.component != m.component")
-                 .select(F.least("h.node", "m.node").alias("a"),
-                         F.greatest("h.node", "m.node").alias("b"),
-                         F.when(F.expr("h.node < m.node"), F.col("h.n"))
-                         .otherwise(F.col("m.n")).alias("n_a"),
-                         F.when(F.expr("h.node < m.node"), F.col("m.n"))
-                         .otherwise(F.col("h.n")).alias("n_b")))
-        fresh = (_sized(pairs, percent).distinct()
-                 .join(tested, ["a", "b"], "left_anti").checkpoint())
-        found = _links(fresh, near, confirm)
+        pairs = (hub.alias("h").join(live.alias("m"), (F.col("h.bucket") == F.col("m.bucket"))
+                                     & (F.col("h.component") != F.col("m.component"))
+                                     & _room_for_link(percent))
+                 .select(F.col("h.node").alias("p"), F.col("h.n").alias("n_p"),
+                         F.col("m.node").alias("q"), F.col("m.n").alias("n_q")))
+        pairs = _pairs(pairs, "p", "n_p", "q", "n_q", percent)
+        fresh = (pairs if direct is None else pairs.union(direct)).distinct() \
+            .join(tested, ["a", "b"], "left_anti").checkpoint()
+        found = _texts(fresh, near).mapInArrow(confirm, _LINK).checkpoint()
         if found.limit(1).count():
             links = links.union(found)
             component = components(links)
         if most <= allowed:
             break
-        tested = tested.union(fresh)
-        open_ = live.where(F.col("minor") > allowed).select("bucket", "node", "n")
+        tested, direct = tested.union(fresh), None
+        small = live.where(F.col("minor") > allowed).select("bucket", "node", "n", "common")
         allowed *= 4
 
     named = nodes.select("set_a", "set_b", "node").join(component, "node", "left").select(
@@ -126,18 +154,53 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
                                F.col("component_id").isNull()).alias("kept")))
 
 
-def _sized(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose set sizes allow a link: the others cannot be one."""
-    return pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) \
-        .select("a", "b")
+def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
+    """Set sizes that allow a link: it needs ``percent`` of the larger set in common."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def _room_for_link(percent: int) -> Column:
+    """Whether members ``h`` and ``m`` of a hub can be linked at all: in common they have at
+    most what each has in common with the hub, and what each has beside it."""
+    most = F.least("h.common", "m.common") + F.least(
+        F.col("h.n") - F.col("h.common"), F.col("m.n") - F.col("m.common"))
+    return (100 + percent) * most >= percent * (F.col("h.n") + F.col("m.n"))
+
+
+def _pairs(rows: DataFrame, p: str, n_p: str, q: str, n_q: str, percent: int) -> DataFrame:
+    """``a < b`` of the pairs whose set sizes allow a link."""
+    return rows.where(_sizes_fit(F.col(n_p), F.col(n_q), percent)).select(
+        F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
 
 
-def _links(pairs: DataFrame, near: DataFrame, confirm) -> DataFrame:
-    """The pairs that are links, by their full sets."""
+def _texts(pairs: DataFrame, near: DataFrame) -> DataFrame:
     return (pairs.join(near.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
             .join(near.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-            .select("a", "b", "text_a", "text_b")
-            .mapInArrow(confirm, "a long, b long").checkpoint())
+            .select("a", "b", "text_a", "text_b"))
+
+
+def _enough_of_hub(beside: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components, compared with the same hub, that may be linked by
+    what they share with the hub alone; one of them is not linked to it. They meet by size:
+    what a member has in common with the hub bounds the size of its partners."""
+    def level(n: Column) -> Column:
+        return F.floor(F.log(n.cast("double")) / math.log(1.05))
+
+    one = beside.select("a", F.col("b").alias("p"), F.col("n_b").alias("n_p"),
+                        F.col("common").alias("c_p"), F.col("component").alias("k_p"), "linked")
+    low = F.ceil(percent * F.col("n_p") / 100)
+    high = F.floor(F.col("c_p") * (100 + percent) / percent) - F.col("n_p")
+    seekers = one.where(~F.col("linked") & (low <= high)).withColumn(
+        "level", F.explode(F.sequence(level(low), level(high))))
+    others = one.select("a", F.col("p").alias("q"), F.col("n_p").alias("n_q"),
+                        F.col("c_p").alias("c_q"), F.col("k_p").alias("k_q"),
+                        level(F.col("n_p")).alias("level"))
+    shared = F.least("c_p", "c_q")
+    return _pairs(seekers.alias("s").join(
+        others.alias("o"), (F.col("s.a") == F.col("o.a")) & (F.col("s.level") == F.col("o.level"))
+        & (F.col("k_p") != F.col("k_q"))
+        & (100 * shared >= percent * (F.col("n_p") + F.col("n_q") - shared))),
+        "p", "n_p", "q", "n_q", percent)
 
 
 def _unsettled(members: DataFrame, component: DataFrame) -> DataFrame:
@@ -157,21 +220,23 @@ def components(links: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node reachable) of every node of the links
     ``a, b``: smallest labels spread along links and jump to their labels' labels."""
     both = links.union(links.select("b", "a")).select(
-        F.col("a").alias("node"), F.col("b").alias("other")).distinct().checkpoint()
+        F.col("a").alias("node"), F.col("b").alias("other")).checkpoint()
     labels = both.groupBy("node").agg(F.least("node", F.min("other")).alias("component")) \
         .checkpoint()
+    rounds = 0
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node") \
-            .agg(F.min("component").alias("seen"))
-        spread = labels.join(seen, "node").select(
-            "node", F.least("component", "seen").alias("label"),
-            F.col("component").alias("before")).checkpoint()
-        jumped = spread.alias("s").join(
-            spread.select(F.col("node").alias("label"), F.col("label").alias("next")),
-            "label").select("node", F.col("next").alias("component"), "before").checkpoint()
-        labels = jumped.select("node", "component")
-        if not jumped.where("component != before").limit(1).count():
+        heard = both.join(labels.withColumnRenamed("node", "other"), "other").select(
+            "node", "component", F.lit(None).cast("long").alias("before"))
+        spread = heard.union(labels.withColumn("before", F.col("component"))).groupBy("node").agg(
+            F.min("component").alias("component"), F.max("before").alias("before")).checkpoint()
+        labels, rounds = spread.select("node", "component"), rounds + 1
+        if not spread.where("component != before").limit(1).count():
             return labels
+        if rounds > 2:  # stars are done by now; along chains labels have to jump
+            labels = labels.alias("l").join(
+                labels.select(F.col("node").alias("at"), F.col("component").alias("next")),
+                F.col("l.component") == F.col("at")).select(
+                    "node", F.col("next").alias("component")).checkpoint()
 
 
 # --- inside tasks ---------------------------------------------------------------------
@@ -265,18 +330,34 @@ def _sums(values: np.ndarray, ends: np.ndarray, count: np.ndarray) -> np.ndarray
     return (total[ends] - total[ends - count]).view(np.int64)
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch], width: int,
-               percent: int) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], width: int, percent: int,
+              every: bool) -> Iterator[pa.RecordBatch]:
+    """The pairs that are links by their full sets; or every pair with what the sets have
+    in common and those shingles of ``b`` that ``a`` lacks. Of these only so many, in hash
+    order, as another text must meet: it needs ``percent`` of ``b`` in common, and can find
+    no more of that in ``a`` than ``b`` has."""
     for part in T.slices(batches, "text_b"):
         coded = pc.dictionary_encode(T.one(part["text_a"]))  # a hub's set is built once
         hubs = _sets(coded.dictionary, width)
         others = _sets(T.one(part["text_b"]), width)
-        good = np.zeros(part.num_rows, bool)
+        rows = []
         for i, (h, b) in enumerate(zip(coded.indices.to_pylist(), others, strict=True)):
             a = hubs[h]
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            good[i] = 100 * both >= percent * (len(a) + len(b) - both)
-        kept = part.select(["a", "b"]).filter(pa.array(good))
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            linked = 100 * common >= percent * (len(a) + len(b) - common)
+            if every:
+                extra = np.setdiff1d(b, a, assume_unique=True).view(np.int64)
+                missing = -(-percent * len(b) // 100) - common
+                extra = extra[:max(len(extra) - max(missing, 1) + 1, 0)]
+                rows.append((i, len(b), common, linked, extra))
+            elif linked:
+                rows.append((i,))
+        kept = part.select(["a", "b"]).take(pa.array([r[0] for r in rows], pa.int64()))
+        if every:
+            for k, (name, kind) in enumerate((("n_b", pa.int64()), ("common", pa.int64()),
+                                              ("linked", pa.bool_()),
+                                              ("extra", pa.list_(pa.int64()))), 1):
+                kept = kept.append_column(name, pa.array([r[k] for r in rows], kind))
         yield from kept.combine_chunks().to_batches()
 
 
