@@ -1,6 +1,6 @@
 import itertools
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from factmark.llm import chat
@@ -84,3 +84,32 @@ def test_names_nulls_ties_and_one_long_conversation(spark):
 
 def test_empty_table(spark):
     assert chat.repair_roles(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_no_stretch_is_longer_than_it_should_be(spark):
+    """A third of all rows under a null conversation, with null, equal and low turn numbers."""
+    rows = [(None, None if i % 3 else i % 2, "user", f"{i % 7}", "", 0) for i in range(1500)]
+    rows += [(i, t, "user" if t % 2 == 0 else "assistant", "x", "", 0) for i in range(750) for t in range(4)]
+    out = chat.repair_roles(spark.createDataFrame(rows, SCHEMA), stretch=100).collect()
+    assert len(out) == len(rows)
+    own = [r for r in out if r["conv_id"] is None]
+    assert {r["out_turn"] for r in own} == {0} and len({r["part"] for r in own}) == 1500
+    assert max(Counter(r["part"] >> 20 for r in own).values()) == 100
+    texts = [(r["turn"] is None, r["turn"] or 0, r["text"]) for r in sorted(own, key=lambda r: r["part"])]
+    assert {t[:2] for t in texts} == {(False, 0), (False, 1), (True, 0)} and texts == sorted(
+        texts, key=lambda t: t[:2])
+    by_text = [[t[2] for t in texts if t[:2] == k] for k in ((False, 0), (False, 1), (True, 0))]
+    assert all(len([1 for a, b in zip(x, x[1:]) if a != b]) == 6 for x in by_text)
+
+
+def test_blocks_of_stretches_cost_what_the_whole_does(spark):
+    r, c = random.Random(9), chat.Costs()
+    conversations = [[r.choice([*chat.ROLES, None]) for _ in range(n)] for n in (9, 10, 40, 200)]
+    for i, own in repaired(spark, conversations, stretch=3).items():
+        cost, roles = 0, conversations[i]
+        assert [x["turn"] for x in own if x["turn"] is not None] == list(range(len(roles)))
+        for x in own:
+            had = roles[x["turn"]] if x["turn"] is not None else x["role"]
+            cost += {"merge": c.merge, "insert": c.insert}.get(x["action"], 0)
+            cost += 0 if had == x["role"] else c.relabel if had else c.unknown
+        assert cost == min(x[0] for x in chat._forward(tuple(roles), chat.START, c)[-1])
