@@ -86,7 +86,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     How: a source's documents are dealt into shards by a seeded hash, laid end to end in
     a seeded order inside each shard, and cut into blocks of BLOCK words. Sainte-Lague
     gives each source its blocks and each of its shards an integer quota. A shard's quota
-    is so many whole rounds, and for the rest evenly spread blocks from a seeded start.
+    is so many whole rounds, and for the rest one run of blocks from a seeded start, which
+    wraps round: documents are taken whole or not at all, but for those at its two ends.
     Only sums by source and by shard reach the driver (a row per LAID_OUT documents). A
     source with a third of all rows has as many shards as it needs; a document's words
     are never exploded, its share follows from where its first and last word lie.
@@ -151,9 +152,11 @@ def _div(x: Column, y: Column) -> Column:
 
 
 def _chosen_before(block: Column) -> Column:
-    """How many of a shard's blocks before this one are taken once more: every
-    (blocks / extra)-th from the seeded start."""
-    return _div(block * F.col("extra") + F.col("start"), F.col("blocks"))
+    """How many of a shard's blocks before this one are taken once more: they are one run
+    from the seeded start, which goes on at the shard's first block after its last."""
+    end = F.col("start") + F.col("extra")
+    return (F.least(F.greatest(block - F.col("start"), F.lit(0)), F.col("extra"))
+            + F.greatest(F.least(block, end - F.col("blocks")), F.lit(0)))
 
 
 def chosen(word: Column) -> Column:
@@ -171,16 +174,27 @@ def _words_before(word: Column) -> Column:
 def mixed_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
                  seed: int = 17) -> DataFrame:
     """The mix itself, with the columns ``doc_id, text, lang, source, n_chars``: a document
-    once for each whole round, and once more with the words of its chosen blocks, joined
-    by spaces (its whole text where all are chosen). Copies share their ``doc_id``."""
+    once for each whole round, and once more if it lies in its shard's run of extra blocks,
+    with its whole text. A document at an end of the run gives the words inside, which
+    follow each other in it, joined by spaces; one that holds both ends may give two such
+    rows, never one with words from either side of a gap. Copies share their ``doc_id``."""
     rows = mix(docs, weights, most, seed, carry=["text", "lang", "source"])
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    part = F.array_join(F.filter(
-        words, lambda w, i: chosen(F.col("first_word") + i) == 1), " ")
     more = F.col("taken") - F.col("rounds") * F.col("size")
-    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), "rounds")))
-    text = F.when((F.col("copy") < F.col("rounds")) | (more == F.col("size")), F.col("text")) \
-        .otherwise(part)
-    return (copies.where((F.col("size") > 0) & ((F.col("copy") < F.col("rounds")) | (more > 0)))
-            .select("doc_id", text.alias("text"), "lang", "source")
+    # The run, and what of it goes on at the front, as words of the document, [first, end).
+    end = F.col("start") + F.col("extra")
+    first = F.greatest(BLOCK * F.col("start") - F.col("first_word"), F.lit(0))
+    last = F.least(BLOCK * F.least(end, F.col("blocks")) - F.col("first_word"), F.col("size"))
+    front = F.least(BLOCK * (end - F.col("blocks")) - F.col("first_word"), F.col("size"))
+
+    def piece(begin: Column, stop: Column) -> Column:
+        return F.when(stop > begin, F.array_join(
+            F.slice(words, (begin + 1).cast("int"), (stop - begin).cast("int")), " "))
+
+    extra = F.when(more == F.col("size"), F.array("text")).when(more > 0, F.array_compact(F.array(
+        piece(F.lit(0).cast("long"), front), piece(first, last)))).otherwise(F.array().cast("array<string>"))
+    return (rows.where((F.col("size") > 0) & (F.col("taken") > 0))
+            .select("doc_id", "lang", "source", F.explode(F.concat(
+                F.array_repeat("text", F.col("rounds").cast("int")), extra)).alias("text"))
+            .select("doc_id", "text", "lang", "source")
             .withColumn("n_chars", F.length("text").cast("long")))

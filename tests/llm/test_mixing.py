@@ -88,6 +88,36 @@ def test_copies_hold_the_words_that_are_taken(spark, docs):
     assert +want == +got
 
 
+def test_copies_are_whole_but_at_the_ends_of_a_run(spark):
+    """Unequal sources, one below its size: no text may hold words that did not follow each other."""
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(20 + i)), "xx", "big" if i % 3 else "small", "", 1)
+            for i in range(150)] + [(999, " ".join(f"d999w{j}" for j in range(4000)), "xx", "one", "", 1)]
+    whole = {r[0]: r[1].split() for r in rows}
+    source = {r[0]: r[3] for r in rows}
+    docs = spark.createDataFrame(rows, SCHEMA)
+    texts = mixing.mixed_copies(docs).collect()
+    cut, got = Counter(), Counter()
+    for r in texts:
+        w = r["text"].split()
+        at = whole[r["doc_id"]].index(w[0])
+        assert w == whole[r["doc_id"]][at:at + len(w)]
+        cut[source[r["doc_id"]]] += len(w) < len(whole[r["doc_id"]])
+        got[r["doc_id"]] += len(w)
+    want = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect() if r["taken"]}
+    assert got == want and max(cut.values()) <= 2
+    assert any(n < len(whole[i]) for i, n in want.items()) and set(whole) - set(want)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_gap_in_a_document_makes_two_rows(spark, seed):
+    """One document in its shard: the run may leave out its middle."""
+    rows = [(1, " ".join(f"a{j}" for j in range(1000)), "xx", "a", "", 1),
+            (2, " ".join(f"b{j}" for j in range(1000)), "xx", "b", "", 1)]
+    for r in mixing.mixed_copies(spark.createDataFrame(rows, SCHEMA), (1, 3), seed=seed).collect():
+        w = [int(x[1:]) for x in r["text"].split()]
+        assert w == list(range(w[0], w[0] + len(w)))
+
+
 def test_empty_table(spark, docs):
     assert mixing.mix(docs.limit(0)).collect() == []
     assert mixing.mixed_copies(docs.limit(0)).collect() == []
