@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from factmark.llm import mixing, neardup, packing, quality, substring
 from factmark.llm.queries import tokenizer_path
-from factmark.session import scratch_path, ship_package
+from factmark.session import materialise, scratch_path, ship_package
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Hashes order and boosted tables judge here, which SQL cannot express.
@@ -20,21 +20,44 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality(docs, labels, carry=COLUMNS[1:]).where("predicted = 1").select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """One row of those with equal ``doc_id`` and ``text``, and a ``_key`` of its own.
+
+    The key is the id where it stands on one text; other texts of that id, and texts
+    without an id, have a hash above 2**62, so that they come after usual ids."""
+    digest = F.xxhash64("doc_id", "text")
+    odd = materialise(  # small as a rule: joined without a shuffle
+        docs.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.min(digest).alias("_first"))
+        .where("_rows > 1 OR _id IS NULL").select("_id", "_first"), "odd-ids")
+    if odd.isEmpty():
+        return docs.select(*COLUMNS, F.col("doc_id").alias("_key"))
+    own = F.shiftright(digest, 2).bitwiseAND((1 << 62) - 1).bitwiseOR(F.lit(1 << 62))
+    rows = docs.select(*COLUMNS).join(odd, F.col("doc_id") == F.col("_id"), "left")
+    single = F.col("doc_id").isNotNull() & F.col("_id").isNull()
+    repeated = (rows.where(~single)
+                .withColumn("_key", F.when(digest == F.col("_first"), F.col("doc_id")).otherwise(own))
+                .groupBy("_key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*", "_key"))
+    return rows.where(single).select(*COLUMNS, F.col("doc_id").alias("_key")).union(repeated)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, five-word shingles alike to 0.8."""
+    """One row of each group of near copies, five-word shingles alike to 0.8. Rows without
+    an id, or of one id, are rows of their own; those alike in id and text are one."""
     ship_package(spark)
-    kept = neardup.near_duplicates(docs, width=5, percent=80).where("kept").select(
-        F.col("doc_id").alias("_kept"))
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    rows = _keyed(docs)
+    kept = neardup.near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"), width=5,
+                                   percent=80).where("kept").select(F.col("doc_id").alias("_kept"))
+    return rows.join(kept, F.col("_key") == F.col("_kept"), "left_semi").select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 13 words that an earlier document holds; a document that had words and
-    has none left goes."""
+    has none left goes. Rows without an id come last, among them in the order of a hash."""
     ship_package(spark)
-    cut = substring.remove_repeats(docs, window=13, carry=["lang", "source"])
-    return cut.where("n_words = 0 OR n_removed < n_words").withColumn(
-        "n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    rows = _keyed(docs).withColumnRenamed("doc_id", "_own").withColumnRenamed("_key", "doc_id")
+    cut = substring.remove_repeats(rows, window=13, carry=["lang", "source", "_own"])
+    return cut.where("n_words = 0 OR n_removed < n_words").withColumn("doc_id", F.col("_own")) \
+        .withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,3 +73,26 @@ def test_odd_documents_pass_through(spark, tmp_path):
         stage(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
     assert "sequence_id" in docs.columns
+
+
+def test_copies_without_an_id_of_their_own(spark):
+    text = [" ".join(f"{x}{i}" for i in range(40)) for x in "abcde"]
+    near = text[0].replace("a39", "z")
+    rows = [(7, text[0]), (None, text[0]), (None, near), (None, text[1]), (None, text[1]),
+            (None, text[1] + " more"), (3, text[2]), (3, text[2]), (3, text[3]), (4, text[3]),
+            (5, text[4]), (5, text[4].replace("e39", "z")), (None, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert max(kept.values()) == 1 and (7, text[0]) in kept and (None, None) in kept and (6, "") in kept
+    starts = Counter((t or "")[:2] for _, t in kept)
+    assert starts == {"a0": 1, "b0": 1, "c0": 1, "d0": 1, "e0": 1, "": 2}
+
+    shared = " ".join(f"s{i}" for i in range(20))
+    apart = [(None, f"{shared} {text[0]}"), (None, f"{text[1]} {shared}"), (8, f"{shared} {text[2]}"),
+             (8, f"{text[3]} {shared}")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in apart], docs.schema)
+    cut = corpus_pipeline.drop_repeats(spark, docs, SF).collect()
+    assert len(cut) == 4 and sum("s5" in r["text"].split() for r in cut) == 1
+    assert Counter(r["doc_id"] for r in cut) == {None: 2, 8: 2}
