@@ -4,9 +4,11 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent)]
 
-from factmark.session import local_session  # noqa: E402
+from helpers import day  # noqa: E402
+
+from factmark.session import local_session, ship_package  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -14,14 +16,11 @@ def spark():
     # Tiny inputs: compiling whole stages would cost more than running them.
     session = local_session("8", **{"spark.sql.codegen.wholeStage": "false",
                                     "spark.sql.shuffle.partitions": "4"})
+    ship_package(session)
     yield session
     session.stop()
 
 
-def day(text: str) -> datetime.date:
-    return datetime.date.fromisoformat(text)
-
-
 @pytest.fixture(scope="session")
 def panel_of(spark):
     """Panel with one row per day from plain lists of prices."""

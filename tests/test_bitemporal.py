@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import day
+from helpers import day
 from factmark.errors import LookAheadContamination, PointInTimeError, ResearchError
 from factmark.operators import bitemporal, universe, validation
 from factmark.schemas import DATASETS

@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import day
+from helpers import day
 from factmark.errors import ResearchError
 from factmark.functions.impact import execution_cost
 from factmark.operators import costs, fingerprint, ledger, validation

@@ -4,13 +4,18 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parent.parent
 
 
-def test_entry_without_the_optional_operators(tmp_path):
+@pytest.mark.parametrize("with_pipeline", [False, True])
+def test_entry_without_the_optional_operators(tmp_path, with_pipeline):
     shutil.copytree(ROOT / "factmark", tmp_path / "factmark",
                     ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    if with_pipeline:
+        shutil.copy(ROOT / "corpus_pipeline.py", tmp_path)
     told = subprocess.run(
         [sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); "
          "print(len(q) > 100, set(e.oracle_sql()) <= set(q), 'pipeline' in q)"],

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import day
+from helpers import day
 from factmark.errors import LookAheadFactor, ResearchError
 from factmark.operators import bitemporal, factors
 

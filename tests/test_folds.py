@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import day
+from helpers import day
 from factmark.errors import LeakageError, ResearchError
 from factmark.operators import folds
 from factmark.plans import research
