@@ -6,8 +6,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from . import (
-    chat, mixing, neardup, packing, quality, rules, sharding, substring, topk, toxicity)
+    chat, mixing, neardup, packing, quality, rules, sharding, substring, tokenfile, topk, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,10 +23,10 @@ def query(sql: str | None = None):
     return add
 
 
-def tokenizer_path() -> str:
-    """The vocabulary file that queries use; it lies at the same path on every machine."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary file that queries use; it lies at the same path on every machine."""
     import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -199,3 +200,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.repair_roles(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-ids")
+    tokenfile.write_ids(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), path)
+    return tokenfile.read_ids(spark, path)
