@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from . import (
-    chat, mixing, neardup, packing, quality, rules, sharding, substring, tokenfile, topk, toxicity)
+    alignment, chat, mixing, neardup, packing, quality, rules, sharding, substring, tokenfile,
+    topk, toxicity, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -207,3 +208,14 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
     tokenfile.write_ids(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), path)
     return tokenfile.read_ids(spark, path)
+
+
+@query()
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                           tokenizer_path("piece_bpe_32k.model"))
+
+
+@query()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=16, scale=64)
