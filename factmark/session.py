@@ -25,6 +25,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows of long texts: a batch for Python is bounded in bytes, not only in rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 
@@ -82,9 +84,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/factmark-{name}-{uuid.uuid4().hex}"
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a folder that ``scratch_path`` named, once nothing reads it any more."""
-    if "/factmark-" not in path:
+def discard(spark: SparkSession, path: str, mark: str = "factmark-") -> None:
+    """Remove a folder of intermediate data, once nothing reads it any more. Its own name
+    has to begin with ``mark``, as those that ``scratch_path`` gives do."""
+    if not path.rstrip("/").rpartition("/")[2].startswith(mark):
         raise ResearchError(f"{path} is not intermediate data")
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
@@ -100,3 +103,36 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables an operator writes for itself; all are removed when it is done with them.
+
+    ``table`` cuts lineage as ``materialise`` does. ``parts`` merges the tasks of the stage
+    that writes, for tables whose size is known to need fewer than there are shuffle
+    partitions. Tables that the operator's own lazy result reads are ``kept``.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name = spark, name
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def table(self, df: DataFrame, parts: int | None = None, kept: bool = False) -> DataFrame:
+        path = scratch_path(self.spark, self.name)
+        (df if parts is None else df.coalesce(parts)).write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        if not kept:
+            self._paths[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables nothing reads any more; others are left alone."""
+        for table in tables:
+            if held := self._paths.pop(id(table), None):
+                discard(self.spark, held[1])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[table for table, _ in list(self._paths.values())])
