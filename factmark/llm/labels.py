@@ -25,6 +25,9 @@ def sample(labels: DataFrame, column: str, size: int, seed: int = 5) -> DataFram
 
 
 def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """``doc_id, text, label`` of the chosen documents; the ids are few and broadcast."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    """``doc_id, text, label`` of the chosen documents; the ids are few and broadcast. Of
+    rows that share an id one counts, so that the result is bounded by the ids."""
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+            .join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(one)
+            .select("doc_id", F.col("one.text").alias("text"), "label"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .copies import HOT, numbered
+
 #: Words of a block.
 BLOCK = 16
 #: Documents of a source laid out in one task, on average.
@@ -99,6 +101,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
         *([] if "source" in carry else ["source"]),
         F.xxhash64(F.lit(seed), "doc_id", "text").alias("_order"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = numbered(rows, "_order").withColumn("_order", F.when(
+        F.col("_copy") < HOT, F.col("_order")).otherwise(
+            F.xxhash64("_order", F.floor(F.col("_copy") / HOT)))).drop("_copy")
     sums = [(r.source, int(r.words), int(r.n)) for r in rows.groupBy("source").agg(
         F.sum("size").alias("words"), F.count("*").alias("n")).collect()]
     sums.sort(key=lambda r: (r[0] is None, r[0] or ""))

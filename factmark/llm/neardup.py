@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_root
+from ..session import Scratch
 from . import text as T
 
 #: Bins in a band: the fewer, the more pairs meet that are not alike.
@@ -58,7 +58,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     aggregated and joined.
     """
     spark = docs.sparkSession
-    checkpoint_root(spark)
     bands = math.ceil(math.log(miss) / math.log(1 - (percent / 100) ** rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
@@ -71,46 +70,95 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _compared(batches, width, percent, True)
 
-    signed = texts.mapInArrow(sign, _SIGNED).checkpoint()
-    nodes = (signed.where("n_shingles > 0 AND rep IS NOT NULL").groupBy("set_a", "set_b")
-             .agg(F.min("rep").alias("node"), F.min("n_shingles").alias("n"),
-                  F.first("bands").alias("bands")).checkpoint())
+    with Scratch(spark, "near") as scratch:
+        signed = scratch.table(texts.mapInArrow(T.tidy(sign), _SIGNED), kept=True)
+        nodes = scratch.table(
+            signed.where("n_shingles > 0 AND rep IS NOT NULL").groupBy("set_a", "set_b")
+            .agg(F.min("rep").alias("node"), F.min("n_shingles").alias("n"),
+                 F.first("bands").alias("bands")), kept=True)
+        size = _Size(nodes.count(), bands)
+        members = _members(nodes, scratch, size)
+        near = scratch.table(texts.join(members.select(F.col("node").alias("doc_id")).distinct(),
+                                        "doc_id", "left_semi")
+                             .select(F.col("doc_id").alias("node"), "text"), size.texts)
+
+        def compared(pairs: DataFrame, by, schema: str) -> DataFrame:
+            return scratch.table(_texts(pairs, near, size.texts).mapInArrow(T.tidy(by), schema), size.texts)
+
+        star = scratch.table(
+            members.where("hub.node != node").repartition("node").groupBy("node", "n", "hub")
+            .agg(F.count("*").alias("shared"))
+            .groupBy("node", "n").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub")),
+            size.nodes)
+        tested = scratch.table(_pairs(star, "hub.node", "hub.n", "node", "n", percent), size.nodes)
+        links = compared(tested, confirm, _LINK)
+
+        # Buckets whose members are not all linked to one hub: compare all with their own hub.
+        chosen = star.select("node", F.col("hub.node").alias("to")).join(
+            links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(
+                links.select("b", "a")), ["node", "to"]).coalesce(size.nodes)
+        state = scratch.table(members.select("bucket", "node", "hub").join(
+            chosen.withColumnRenamed("to", "component"), "node", "left").withColumn(
+                "component", F.coalesce("component", "node")), size.placed)
+        scratch.drop(members, star)
+        open_ = scratch.table(
+            state.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q"))
+            .where("p != q").select("bucket"), size.placed)
+        if open_.isEmpty():
+            component = components(links, scratch, size.nodes)
+        else:
+            seen = compared(state.join(open_, "bucket").where("hub.node != node").select(
+                F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+                .coalesce(size.texts), compare, _COMPARED)
+            component = _settled(seen, links, tested, compared, confirm, percent, scratch, size)
+        component = scratch.table(component, size.nodes, kept=True)
+
+    named = nodes.select("set_a", "set_b", "node").join(component, "node", "left").select(
+        "set_a", "set_b", F.coalesce("component", "node").alias("component"))
+    return (signed.join(named, ["set_a", "set_b"], "left")
+            .select(F.explode("ids").alias("doc_id"), "n_shingles", "component")
+            .withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id"))
+                        .otherwise(F.col("component")))
+            .select("doc_id", "n_shingles", "component_id",
+                    F.coalesce(F.col("doc_id") == F.col("component_id"),
+                               F.col("component_id").isNull()).alias("kept")))
+
+
+class _Size:
+    """Tasks that tables of so many nodes need; never one alone. A stage that would have
+    fewer anyway keeps its own number."""
+
+    def __init__(self, nodes: int, bands: int):
+        self.nodes, self.placed, self.texts = (
+            max(8, math.ceil(rows / each)) for rows, each in (
+                (nodes, 50_000), (nodes * bands, 250_000), (nodes, 5_000)))
+
+
+def _members(nodes: DataFrame, scratch: Scratch, size: _Size) -> DataFrame:
+    """``bucket, node, n, hub`` of all buckets that hold at least two nodes."""
     placed = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    crowd = placed.groupBy("bucket").agg(F.count("*").alias("crowd")).where("crowd > 1") \
-        .checkpoint()
+    crowd = scratch.table(placed.groupBy("bucket").agg(F.count("*").alias("crowd"))
+                          .where("crowd > 1"), size.placed)
     company = F.sum("crowd").over(W.partitionBy("node"))  # a row per band
-    met = placed.join(crowd, "bucket").withColumn("company", company).drop("crowd").checkpoint()
-    hubs = met.groupBy("bucket").agg(
+    met = scratch.table(placed.join(crowd, "bucket").coalesce(size.placed)
+                        .withColumn("company", company).drop("crowd"), size.placed)
+    hubs = scratch.table(met.groupBy("bucket").agg(
         F.max(F.struct("company", -F.col("node"), "node", "n")).alias("hub")).select(
-            "bucket", F.struct("hub.company", "hub.node", "hub.n").alias("hub")).checkpoint()
-    members = met.join(hubs, "bucket").checkpoint()
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    near = (texts.join(wanted, "doc_id", "left_semi")
-            .select(F.col("doc_id").alias("node"), "text").checkpoint())
+            "bucket", F.struct("hub.company", "hub.node", "hub.n").alias("hub")), size.placed)
+    members = scratch.table(met.join(hubs, "bucket"), size.placed)
+    scratch.drop(crowd, met, hubs)
+    return members
 
-    star = (members.where("hub.node != node").repartition("node").groupBy("node", "n", "hub")
-            .agg(F.count("*").alias("shared"))
-            .groupBy("node", "n").agg(F.max_by("hub", F.struct("shared", "hub")).alias("hub")))
-    tested = _pairs(star, "hub.node", "hub.n", "node", "n", percent).checkpoint()
-    links = _texts(tested, near).mapInArrow(confirm, _LINK).checkpoint()
-
-    # Buckets whose members are not all linked to one hub: compare all with their own hub.
-    chosen = star.select("node", F.col("hub.node").alias("to")).join(
-        links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(
-            links.select("b", "a")), ["node", "to"])
-    state = members.select("bucket", "node", "hub").join(
-        chosen.withColumnRenamed("to", "component"), "node", "left").withColumn(
-            "component", F.coalesce("component", "node")).checkpoint()
-    open_ = state.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")) \
-        .where("p != q").select("bucket").checkpoint()
-    seen = _texts(state.join(open_, "bucket").where("hub.node != node").select(
-        F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), near) \
-        .mapInArrow(compare, _COMPARED).checkpoint()
+
+def _settled(seen: DataFrame, links: DataFrame, tested: DataFrame, compared, confirm, percent: int,
+             scratch: Scratch, size: _Size) -> DataFrame:
+    """Components once every pair that met in an open bucket is linked, connected or
+    refuted; ``seen`` has each member with what it shares with its hub."""
     links = links.union(seen.where("linked").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).checkpoint()
-    component = components(links)
-    beside = seen.join(component.withColumnRenamed("node", "b"), "b", "left").withColumn(
-        "component", F.coalesce("component", "b")).checkpoint()
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    component = components(links, scratch, size.nodes)
+    beside = scratch.table(seen.join(component.withColumnRenamed("node", "b"), "b", "left")
+                           .withColumn("component", F.coalesce("component", "b")), size.texts)
 
     # Two that are not both linked to their hub, by what they share with it or beside it.
     direct = _enough_of_hub(beside, percent)
@@ -119,7 +167,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
         F.xxhash64("a", "shingle").alias("bucket"), "node", "n", "common")
     allowed = HUBS
     while True:
-        live = _unsettled(small, component)
+        live = _unsettled(small, component, scratch, size)
         most = live.agg(F.max("minor")).first()[0] or 0
         hub = live.where(
             (F.col("component") != F.col("main"))
@@ -131,28 +179,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
                  .select(F.col("h.node").alias("p"), F.col("h.n").alias("n_p"),
                          F.col("m.node").alias("q"), F.col("m.n").alias("n_q")))
         pairs = _pairs(pairs, "p", "n_p", "q", "n_q", percent)
-        fresh = (pairs if direct is None else pairs.union(direct)).distinct() \
-            .join(tested, ["a", "b"], "left_anti").checkpoint()
-        found = _texts(fresh, near).mapInArrow(confirm, _LINK).checkpoint()
-        if found.limit(1).count():
-            links = links.union(found)
-            component = components(links)
+        fresh = scratch.table(
+            (pairs if direct is None else pairs.union(direct)).coalesce(size.placed).distinct()
+            .coalesce(size.placed).join(tested, ["a", "b"], "left_anti"), size.texts)
+        if not fresh.isEmpty():
+            found = compared(fresh, confirm, _LINK)
+            if not found.isEmpty():
+                links = links.union(found)
+                component = components(links, scratch, size.nodes)
         if most <= allowed:
-            break
+            return component
         tested, direct = tested.union(fresh), None
         small = live.where(F.col("minor") > allowed).select("bucket", "node", "n", "common")
         allowed *= 4
 
-    named = nodes.select("set_a", "set_b", "node").join(component, "node", "left").select(
-        "set_a", "set_b", F.coalesce("component", "node").alias("component"))
-    return (signed.join(named, ["set_a", "set_b"], "left")
-            .select(F.explode("ids").alias("doc_id"), "n_shingles", "component")
-            .withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id"))
-                        .otherwise(F.col("component")))
-            .select("doc_id", "n_shingles", "component_id",
-                    F.coalesce(F.col("doc_id") == F.col("component_id"),
-                               F.col("component_id").isNull()).alias("kept")))
-
 
 def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
     """Set sizes that allow a link: it needs ``percent`` of the larger set in common."""
@@ -173,9 +213,9 @@ def _pairs(rows: DataFrame, p: str, n_p: str, q: str, n_q: str, percent: int) ->
         F.least(p, q).alias("a"), F.greatest(p, q).alias("b"))
 
 
-def _texts(pairs: DataFrame, near: DataFrame) -> DataFrame:
+def _texts(pairs: DataFrame, near: DataFrame, parts: int) -> DataFrame:
     return (pairs.join(near.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-            .join(near.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+            .coalesce(parts).join(near.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
             .select("a", "b", "text_a", "text_b"))
 
 
@@ -203,40 +243,48 @@ def _enough_of_hub(beside: DataFrame, percent: int) -> DataFrame:
         "p", "n_p", "q", "n_q", percent)
 
 
-def _unsettled(members: DataFrame, component: DataFrame) -> DataFrame:
+def _unsettled(members: DataFrame, component: DataFrame, scratch: Scratch,
+               size: _Size) -> DataFrame:
     """Members of buckets that hold more than one component, with the bucket's largest
     component and how many members are outside it."""
-    state = members.join(component, "node", "left").withColumn(
-        "component", F.coalesce("component", "node")).checkpoint()
-    share = state.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    several = share.groupBy("bucket").agg(
+    state = scratch.table(members.join(component, "node", "left").withColumn(
+        "component", F.coalesce("component", "node")), size.placed)
+    share = state.groupBy("bucket", "component").agg(F.count("*").alias("c")).coalesce(size.placed)
+    several = scratch.table(share.groupBy("bucket").agg(
         F.count("*").alias("kinds"), (F.sum("c") - F.max("c")).alias("minor"),
-        F.max_by("component", F.struct("c", "component")).alias("main")).where(
-            "kinds > 1").checkpoint()
-    return state.join(several.drop("kinds"), "bucket").checkpoint()
+        F.max_by("component", F.struct("c", "component")).alias("main")).where("kinds > 1"),
+        size.placed)
+    live = scratch.table(state.join(several.drop("kinds"), "bucket"), size.placed)
+    scratch.drop(state, several)
+    return live
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
     """``node, component`` (the smallest node reachable) of every node of the links
     ``a, b``: smallest labels spread along links and jump to their labels' labels."""
-    both = links.union(links.select("b", "a")).select(
-        F.col("a").alias("node"), F.col("b").alias("other")).checkpoint()
-    labels = both.groupBy("node").agg(F.least("node", F.min("other")).alias("component")) \
-        .checkpoint()
+    both = scratch.table(links.union(links.select("b", "a")).select(
+        F.col("a").alias("node"), F.col("b").alias("other")), parts)
+    labels = scratch.table(both.groupBy("node").agg(
+        F.least("node", F.min("other")).alias("component")), parts)
     rounds = 0
     while True:
         heard = both.join(labels.withColumnRenamed("node", "other"), "other").select(
             "node", "component", F.lit(None).cast("long").alias("before"))
-        spread = heard.union(labels.withColumn("before", F.col("component"))).groupBy("node").agg(
-            F.min("component").alias("component"), F.max("before").alias("before")).checkpoint()
-        labels, rounds = spread.select("node", "component"), rounds + 1
-        if not spread.where("component != before").limit(1).count():
-            return labels
+        spread = scratch.table(
+            heard.union(labels.withColumn("before", F.col("component"))).coalesce(parts)
+            .groupBy("node").agg(F.min("component").alias("component"),
+                                 F.max("before").alias("before")), parts)
+        scratch.drop(labels)
+        labels, rounds = spread, rounds + 1
+        if spread.where("component != before").isEmpty():
+            scratch.drop(both)
+            return spread.select("node", "component")
         if rounds > 2:  # stars are done by now; along chains labels have to jump
-            labels = labels.alias("l").join(
-                labels.select(F.col("node").alias("at"), F.col("component").alias("next")),
+            labels = scratch.table(spread.alias("l").join(
+                spread.select(F.col("node").alias("at"), F.col("component").alias("next")),
                 F.col("l.component") == F.col("at")).select(
-                    "node", F.col("next").alias("component")).checkpoint()
+                    "node", F.col("next").alias("component")), parts)
+            scratch.drop(spread)
 
 
 # --- inside tasks ---------------------------------------------------------------------

@@ -20,6 +20,8 @@ from . import text as T
 LONG_RUN = 1000
 #: How byte-level tokenizers cut text before merging (a fixed value).
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Text tokenised at a time: ids take more room than their text.
+SLICE_BYTES = 1_000_000
 #: The id after each document.
 END = 1
 
@@ -50,7 +52,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048,
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         packer = Packer(window, task << 36)
-        for part in T.slices(batches):
+        for part in T.slices(batches, limit=SLICE_BYTES):
             flat, offsets = tokens(T.one(part["text"]), tokenizer)
             for i, doc_id in enumerate(part["doc_id"].to_pylist()):
                 packer.add(doc_id, flat[offsets[i]:offsets[i + 1]])
@@ -59,7 +61,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048,
         yield _batch(packer.taken(), with_ids)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        packed, _PIECES + (", ids array<int>" if with_ids else ""))
+        T.tidy(packed), _PIECES + (", ids array<int>" if with_ids else ""))
 
 
 class Packer:
@@ -182,16 +184,19 @@ def _coder(path: str) -> Callable[[str, bool], list[int]]:
     """Ids of a text by the tokenizer in ``path``. Where its merges stand in the order of
     their ids, a faster coder over the same vocabulary gives the same ids; texts that hold
     a special token or a long run go to the tokenizer itself."""
-    from tokenizers import Tokenizer
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    tokenizer = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = [t["content"] for t in spec.get("added_tokens", [])]
     ranks = _ranks(spec)
+    del spec  # tens of megabytes once parsed
+    own = []
 
     def slow(text: str, odd: bool) -> list[int]:
-        return list(tokenizer.encode(text, add_special_tokens=False).ids)
+        if not own:  # loaded when a text first needs it
+            from tokenizers import Tokenizer
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            own.append(Tokenizer.from_file(path))
+        return list(own[0].encode(text, add_special_tokens=False).ids)
 
     if ranks is None:
         return slow

@@ -226,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Additive:
                 ["label", "x"])
 
     rows = L.labelled_texts(docs, L.sample(labels, "quality", size)).mapInArrow(
-        measured, "label int, x array<double>").toArrow()
+        T.tidy(measured), "label int, x array<double>").toArrow()
     x = T.one(rows["x"]).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
     y = T.one(rows["label"]).to_numpy(zero_copy_only=False).astype(float)
     order = np.lexsort((*x.T, y))  # sums then do not depend on the order of arrival
@@ -264,6 +264,6 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
                        *([] if "text" in carry else ["text"]))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema
                      if f.name in ("doc_id", *carry))
-    out = rows.mapInArrow(scored, kept + ", score double")
+    out = rows.mapInArrow(T.tidy(scored), kept + ", score double")
     return out.withColumn("held_out", L.held_out(F.col("doc_id"))).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_root
+from .copies import HOT, numbered
 
 #: A group of equal texts above 1 / (shards * ALONE) of all bytes is placed by itself, so
 #: there are fewer than shards * ALONE such groups.
@@ -82,8 +83,10 @@ def shard_by_size(docs: DataFrame, shards: int = 24) -> DataFrame:
            .join(F.broadcast(by_bucket), "bucket", "left")
            .select("doc_id", "size", "text_crc32", "hash",
                    F.coalesce("own", "common").alias("shard"),
-                   F.pmod(F.xxhash64("doc_id", "hash"), F.lit(parts)).alias("part"))
-           .checkpoint())
+                   F.xxhash64("doc_id", "hash").alias("same")))
+    put = (numbered(put, "same").withColumn("part", F.pmod(
+        F.xxhash64("same", F.floor(F.col("_copy") / HOT)), F.lit(parts)))
+        .drop("same", "_copy").checkpoint())
     before = put.groupBy("shard", "part").agg(F.count("*").alias("n")).select(
         "shard", "part",  # at most `parts` rows a shard
         (F.sum("n").over(W.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))

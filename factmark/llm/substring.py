@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .copies import HOT, numbered
 
 #: Text of a block, the unit whose windows are hashed and answered together.
 BLOCK_BYTES = 4_000_000
@@ -39,7 +40,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, carry: list[str] = ()) ->
     and packed, to the task of its hash range: about seven bytes a window. There the
     smallest id of each hash over all blocks is found, and one bit per hash goes back: is
     a smaller id elsewhere? A hash found in a third of all documents is one entry per
-    block. Blocks and ranges are as many as the text needs, so no task holds more than a
+    block; rows alike in id and text are dealt into several where they are many. Blocks and ranges are as many as the text needs, so no task holds more than a
     few million windows; a single text is never split. Two different windows are taken
     for equal with probability 2**-64 per pair.
     """
@@ -48,17 +49,25 @@ def remove_repeats(docs: DataFrame, window: int = 13, carry: list[str] = ()) ->
     ranges = 1 + text_bytes // (6 * RANGE_WINDOWS)  # a word and its space take six bytes
     carry = [c for c in carry if c not in (
         "doc_id", "text", "kept_words", "n_words", "n_removed", "spans")]
-    laid = docs.select(F.col("doc_id").cast("long"), "text", *carry).withColumn(
-        "_block", F.expr(f"pmod(xxhash64(doc_id, text), {blocks}L)"))
+    laid = numbered(docs.select(F.col("doc_id").cast("long"), "text", *carry).withColumn(
+        "_same", F.xxhash64("doc_id", "text")), "_same")
+    laid = laid.withColumn("_block", F.pmod(
+        F.xxhash64("_same", F.floor(F.col("_copy") / HOT)), F.lit(blocks))).drop("_same", "_copy")
 
     def spread(table: pa.Table) -> pa.Table:
-        return _sent(table, window, ranges)
+        try:
+            return _sent(table, window, ranges)
+        finally:
+            T.trim()
 
     def answer(table: pa.Table) -> pa.Table:
         return _met(table)
 
     def cut(rows: pa.Table, back: pa.Table) -> pa.Table:
-        return _cut(rows, back, window, ranges, carry)
+        try:
+            return _cut(rows, back, window, ranges, carry)
+        finally:
+            T.trim()
 
     sent = laid.groupBy("_block").applyInArrow(
         spread, "block long, range long, hashes binary, ids binary, owners binary")

@@ -1,6 +1,9 @@
 """Words, hashes and rolling windows of a batch of texts, for use inside Arrow tasks."""
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -29,6 +32,26 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text",
             first = last
 
 
+def trim() -> None:
+    """Give free memory back to the system: workers outlive tasks, and what one operator
+    grew would stay while the next one runs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(work):
+    """The same generator of batches, with ``trim`` at its end."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            del batches
+            trim()
+    return run
+
+
 def one(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     """One contiguous array."""
     if isinstance(column, pa.ChunkedArray):
@@ -134,3 +157,36 @@ def twice(keys: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(found, keys[near]), len(found) - 1)
         out[near] = found[at] == keys[near]
     return out
+
+
+class Runs:
+    """A growing array of runs of different lengths."""
+
+    def __init__(self, kind=np.int64):
+        self._flat, self._begin = np.zeros(1 << 16, kind), np.zeros(1 << 14, np.int64)
+        self._used = self._n = 0
+
+    def __len__(self) -> int:
+        return self._n
+
+    @property
+    def flat(self) -> np.ndarray:
+        return self._flat[:self._used]
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        while self._used + len(values) > len(self._flat):
+            self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
+        while self._n + len(sizes) + 1 > len(self._begin):
+            self._begin = np.concatenate([self._begin, np.zeros_like(self._begin)])
+        self._flat[self._used:self._used + len(values)] = values
+        self._begin[self._n + 1:self._n + 1 + len(sizes)] = self._used + np.cumsum(sizes)
+        self._used += len(values)
+        self._n += len(sizes)
+
+    def take(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs one after another, and their lengths."""
+        begin = self._begin[runs]
+        sizes = self._begin[runs + 1] - begin
+        ends = np.cumsum(sizes)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + sizes, sizes)
+        return self._flat[at], sizes

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +24,10 @@ from .huffman import Code, code_lengths
 BLOCK_IDS = 1 << 16
 #: The id after each document.
 END = 1
+#: Within these letters case and composition are the same for every Unicode version.
+_LETTERS = "a-zß-öø-įĲ-ſ"
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-įĲ-ſ]+").fullmatch
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|\n|[^\n0-9{_LETTERS}]+").findall
 #: How tokenizers whose words never meet cut text (a fixed value): nothing crosses white space.
 WORDS_ONLY = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -69,7 +74,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, max_bits: int = 16) ->
 
     held = scratch_path(spark, "ids")
     docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        encode, "doc_id long, row long, n long, ids binary").write.parquet(held)
+        T.tidy(encode), "doc_id long, row long, n long, ids binary").write.parquet(held)
     encoded = spark.read.parquet(held)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +125,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, max_bits: int = 16) ->
     keys = ["doc_id", "_hash", "row"]
     (encoded.withColumn("_hash", F.xxhash64("ids")).repartitionByRange(*keys)
      .sortWithinPartitions(*keys).select("doc_id", "n", "ids")
-     .mapInArrow(compress, _BLOCK).write.parquet(f"{path}/blocks"))
+     .mapInArrow(T.tidy(compress), _BLOCK).write.parquet(f"{path}/blocks"))
     discard(spark, held)
 
 
@@ -159,7 +164,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
     ahead = W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     parts = (blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row per writing task
              .select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("_before")))
-    return blocks.mapInArrow(decode, fields).join(parts, "part").select(
+    return blocks.mapInArrow(T.tidy(decode), fields).join(parts, "part").select(
         "doc_id", (F.col("_before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32",
         *(["ids"] if with_ids else []))
 
@@ -195,9 +200,11 @@ def words_coder(path: str) -> WordsCoder:
 class WordsCoder:
     """Ids by a tokenizer file. Where its rules show that no token crosses white space,
     each distinct word is encoded once and remembered, up to ``KEPT`` characters in all;
-    otherwise whole texts are encoded."""
+    otherwise whole texts are encoded. Words of letters and signs whose lower case and
+    composition are beyond doubt (``PLAIN``) are cut here into the pieces that the
+    tokenizer would merge alone, and only distinct pieces reach it."""
 
-    KEPT = 4_000_000
+    KEPT = 10_000_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -206,17 +213,24 @@ class WordsCoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_word = _words_only(spec)
-        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.special, self.between = list(special), None
-        if special:  # joins words for one call: it is cut out before anything else is done
-            self.between = max(special.items())
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.closing = _closing(spec) if self.by_word else None
+        if self.closing is not None:
+            from tokenizers import normalizers, pre_tokenizers
+            self.merger = Tokenizer.from_file(path)
+            self.merger.encode_special_tokens = True
+            self.merger.normalizer = normalizers.Sequence([])
+            self.merger.pre_tokenizer = pre_tokenizers.Sequence([
+                pre_tokenizers.Split("\n", "removed"),
+                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.chars, self.used, self.words = 0, 0, 0
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.begin = np.zeros(1 << 14, np.int64)
+        self.pieces: dict[str, int] = {"\n": 0}
+        self.chars = 0
+        self.words, self.merged = T.Runs(np.uint32), T.Runs(np.uint32)
+        self.merged.add(np.zeros(0, np.uint32), np.zeros(1, np.int64))  # a line's end has no ids
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each text's followed by ``end``, and where each text starts."""
@@ -229,15 +243,12 @@ class WordsCoder:
         words = T.words(texts)
         codes = self._codes(words.vocabulary.to_pylist())[words.codes] if len(words.codes) \
             else np.zeros(0, np.int64)
-        sizes = self.begin[codes + 1] - self.begin[codes]
-        inside = words.per_text(sizes) + 1
-        offsets = np.concatenate([[0], np.cumsum(inside)]).astype(np.int64)
+        ids, sizes = self.words.take(codes)
+        offsets = np.concatenate([[0], np.cumsum(words.per_text(sizes) + 1)]).astype(np.int64)
         out = np.full(int(offsets[-1]), end, np.uint32)
         place = np.ones(len(out), bool)
         place[offsets[1:] - 1] = False
-        ends = np.cumsum(sizes)
-        out[place] = self.flat[np.arange(int(ends[-1]) if len(ends) else 0)
-                               + np.repeat(self.begin[codes] - ends + sizes, sizes)]
+        out[place] = ids
         return out, offsets
 
     def _codes(self, vocabulary: list[str]) -> np.ndarray:
@@ -245,42 +256,56 @@ class WordsCoder:
             self._forget()
         get = self.known.get
         codes = [get(w) for w in vocabulary]
-        new = [i for i, c in enumerate(codes) if c is None]
-        plain, alone = [], []
-        for i in new:
-            odd = self.between is None or any(s in vocabulary[i] for s in self.special)
-            (alone if odd else plain).append(i)
-        if plain:
-            name, number = self.between
-            for first in range(0, len(plain), 256):
-                part = plain[first:first + 256]
-                ids = np.array(self.tokenizer.encode_batch_fast(
-                    [name.join(vocabulary[i] for i in part)], add_special_tokens=False)[0].ids,
-                    np.uint32)
-                cuts = np.flatnonzero(ids == number)
-                self._add(ids[ids != number], np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
-                for i in part:
-                    codes[i] = self._learn(vocabulary[i])
-        for i in alone:
-            ids = self.tokenizer.encode_batch_fast([vocabulary[i]], add_special_tokens=False)[0].ids
-            self._add(np.array(ids, np.uint32), np.array([len(ids)]))
-            codes[i] = self._learn(vocabulary[i])
+        new = [w for w, c in zip(vocabulary, codes, strict=True) if c is None]
+        if new:
+            plain = [w for w in new if PLAIN(w) and not any(s in w for s in self.special)] \
+                if self.closing is not None else []
+            self._learn_plain(plain)
+            done = set(plain)
+            rest = [w for w in new if w not in done]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+            self.words.add(np.array([i for f in found for i in f], np.uint32),
+                           np.array([len(f) for f in found], np.int64))
+            for w in (*plain, *rest):
+                self.known[w] = len(self.known)
+                self.chars += len(w) + 8
+            codes = [get(w) for w in vocabulary]
         return np.array(codes, np.int64)
 
-    def _learn(self, word: str) -> int:
-        self.known[word] = code = len(self.known)
-        self.chars += len(word) + 8
-        return code
-
-    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.words + len(sizes) + 1 > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        self.flat[self.used:self.used + len(ids)] = ids
-        self.begin[self.words + 1:self.words + 1 + len(sizes)] = self.used + np.cumsum(sizes)
-        self.used += len(ids)
-        self.words += len(sizes)
+    def _learn_plain(self, words: list[str]) -> None:
+        if not words:
+            return
+        found = PIECES("\n".join(words).lower())
+        get = self.pieces.get
+        codes = [get(p) for p in found]
+        new = list(dict.fromkeys(p for p, c in zip(found, codes, strict=True) if c is None))
+        if new:
+            for first in range(0, len(new), 1000):
+                ids = np.array(self.merger.encode_batch_fast(
+                    ["\n".join(new[first:first + 1000])], add_special_tokens=False)[0].ids, np.uint32)
+                ends = np.flatnonzero(self.closing[ids]) + 1  # each piece's last token says so
+                self.merged.add(ids, np.diff(ends, prepend=0))
+            for p in new:
+                self.pieces[p] = len(self.pieces)
+                self.chars += len(p) + 8
+            codes = [get(p) for p in found]
+        codes = np.array(codes, np.int64)
+        ids, sizes = self.merged.take(codes)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        lines = np.concatenate([np.flatnonzero(codes == 0), [len(codes)]])
+        self.words.add(ids, np.diff(upto[lines], prepend=0))
+
+
+def _closing(spec: dict) -> np.ndarray | None:
+    """Which ids end a piece, where every piece's last token is marked as such."""
+    model = spec["model"]
+    mark, vocabulary = model.get("end_of_word_suffix"), model["vocab"]
+    own = [c for c in vocabulary if len(c) == 1]
+    if model["type"] != "BPE" or not mark or len(own) < 256 or any(c + mark not in vocabulary for c in own):
+        return None
+    out = np.zeros(max(vocabulary.values()) + 1, bool)
+    out[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
+    return out
 
 
 def _words_only(spec: dict) -> bool:

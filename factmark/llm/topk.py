@@ -21,21 +21,21 @@ BITS = 12
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """``vec_id`` and ``vector``: ``floor(scale * x)`` of each component as double. Rows
-    without an id, without components, or with a null or non-finite one are left out, and
-    rows that share an id count once, with their smallest vector."""
+    without an id, without components, or with a null or non-finite one are left out; rows
+    that share an id stay rows of their own."""
     x = F.col("embedding")
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return (vectors.where(F.col("vec_id").isNotNull() & (F.size(x) > 0) & sound)
             .select(F.col("vec_id").cast("long").alias("vec_id"),
-                    F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("vector"))
-            .groupBy("vec_id").agg(F.min("vector").alias("vector")))
+                    F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("vector")))
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """The ``k`` highest integer inner products of each query with every other row.
 
     ``vectors`` has ``vec_id`` and an integer array ``vector`` (see ``quantised``). Queries
-    are the rows whose id is divisible by ``every``. Returns ``query_id``, ``rank`` (from
+    are the rows whose id is divisible by ``every``; rows of one id are queries and
+    candidates each for themselves. Returns ``query_id``, ``rank`` (from
     1), ``vec_id``, ``score``; equal scores go to the smaller id; a query with fewer
     candidates gets them all. Only vectors of the query's length are its candidates.
     Scores beyond 64 bits are refused. An empty table gives an empty result.
@@ -49,7 +49,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """
     spark = vectors.sparkSession
     checkpoint_root(spark)
-    vectors = vectors.withColumn("dim", F.size("vector")).checkpoint()
+    vectors = vectors.withColumn("dim", F.size("vector")).withColumn(
+        "row", F.monotonically_increasing_id()).checkpoint()
     n, asked, norm = vectors.agg(
         F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1)),
         F.max(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") ** 2))).first()
@@ -58,36 +59,36 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
         raise ResearchError("inner products may pass 64 bits")
     blocks, chunks = 1 + n // CANDIDATES, 1 + asked // QUERIES
     candidates = vectors.select(
-        "vec_id", "vector", "dim", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"),
+        "row", "vec_id", "vector", "dim", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1))).alias("chunk"))
     queries = vectors.where(F.col("vec_id") % every == 0).select(
-        F.col("vec_id").alias("query_id"), F.col("vector").alias("query"),
-        F.size("vector").alias("dim"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).alias("chunk"))
+        F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"),
+        F.col("vector").alias("query"), F.size("vector").alias("dim"),
+        F.pmod(F.xxhash64("row"), F.lit(chunks)).alias("chunk"))
     key = ["block", "chunk", "dim"]
 
     def scored(state: DataFrame, of, schema: str) -> DataFrame:
-        asking = queries.join(state, "query_id").withColumn(
+        asking = queries.join(state, "query_row").withColumn(
             "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1))))
         return candidates.groupBy(*key).cogroup(asking.groupBy(*key)).applyInArrow(of, schema)
 
     shift = max((2 * bound).bit_length() - BITS, 0)
     # low: the smallest score of the bin that holds the k-th; need: its rank inside the bin.
-    state = queries.select("query_id", F.lit(-bound).cast("long").alias("low"),
+    state = queries.select("query_row", F.lit(-bound).cast("long").alias("low"),
                            F.lit(k).cast("long").alias("need"))
     width = None
     while True:
         bins = scored(state, _counting(shift, width, bound),
-                      "query_id long, bin long, n long") \
-            .groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        down = W.partitionBy("query_id").orderBy(F.desc("bin"))
+                      "query_row long, bin long, n long") \
+            .groupBy("query_row", "bin").agg(F.sum("n").alias("n"))
+        down = W.partitionBy("query_row").orderBy(F.desc("bin"))
         found = (bins.withColumn("upto", F.sum("n").over(down))
-                 .join(state, "query_id").where("upto >= need AND upto - n < need")
-                 .select("query_id", (F.col("low") + F.col("bin") * (1 << shift)).alias("low"),
+                 .join(state, "query_row").where("upto >= need AND upto - n < need")
+                 .select("query_row", (F.col("low") + F.col("bin") * (1 << shift)).alias("low"),
                          (F.col("need") - F.col("upto") + F.col("n")).alias("need")))
         # A query that misses here has fewer than k candidates: all scores are wanted.
-        state = (queries.select("query_id").join(found, "query_id", "left")
-                 .select("query_id", F.coalesce("low", F.lit(-bound)).cast("long").alias("low"),
+        state = (queries.select("query_row").join(found, "query_row", "left")
+                 .select("query_row", F.coalesce("low", F.lit(-bound)).cast("long").alias("low"),
                          F.coalesce("need", F.lit(k)).cast("long").alias("need")).checkpoint())
         if shift == 0:
             break
@@ -96,9 +97,10 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     def kept(c: pa.Table, q: pa.Table) -> pa.Table:
         return _kept(c, q, k, bound)
 
-    best = scored(state, kept, "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = scored(state, kept, "query_row long, vec_id long, score long")
+    order = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+            .join(queries.select("query_row", "query_id"), "query_row")
             .select("query_id", "rank", "vec_id", "score"))
 
 
@@ -109,18 +111,22 @@ def _matrix(column: pa.ChunkedArray, bound: int) -> np.ndarray:
 
 
 def _scores(candidates: pa.Table, queries: pa.Table, bound: int):
-    """For each query: its id, low, need, and the ids and scores of its candidates."""
-    ids = T.one(candidates["vec_id"]).to_numpy(zero_copy_only=False)
-    order = np.argsort(ids)
+    """For each query: its row, low, need, and the ids and scores of its candidates, which
+    are all rows but its own, by rising id."""
+    ids, rows = (T.one(candidates[c]).to_numpy(zero_copy_only=False) for c in ("vec_id", "row"))
+    order = np.lexsort((rows, ids))
     ids, matrix = ids[order], _matrix(candidates["vector"], bound)[order]
+    by_row = np.argsort(rows[order])
+    rows = rows[order][by_row]
     asked = _matrix(queries["query"], bound)
     names, low, need = (T.one(queries[c]).to_numpy(zero_copy_only=False)
-                        for c in ("query_id", "low", "need"))
+                        for c in ("query_row", "low", "need"))
     for first in range(0, len(names), 256):
         part = (asked[first:first + 256] @ matrix.T).astype(np.int64)
         for i, row in enumerate(part, first):
-            at = np.searchsorted(ids, names[i])
-            if at < len(ids) and ids[at] == names[i]:
+            at = np.searchsorted(rows, names[i])
+            if at < len(rows) and rows[at] == names[i]:
+                at = by_row[at]
                 yield names[i], low[i], need[i], np.delete(ids, at), np.delete(row, at)
             else:
                 yield names[i], low[i], need[i], ids, row
@@ -145,7 +151,7 @@ def _histogram(candidates: pa.Table, queries: pa.Table, shift: int, width: int |
                 inside = inside[(inside - low) >> shift >= (floor - low) >> shift]
             bins, n = np.unique((inside - low) >> shift, return_counts=True)
             out += zip([name] * len(bins), bins.tolist(), n.tolist(), strict=True)
-    return _table(out, ["query_id", "bin", "n"])
+    return _table(out, ["query_row", "bin", "n"])
 
 
 def _kept(candidates: pa.Table, queries: pa.Table, k: int, bound: int) -> pa.Table:
@@ -156,7 +162,7 @@ def _kept(candidates: pa.Table, queries: pa.Table, k: int, bound: int) -> pa.Tab
             equal = np.flatnonzero(scores == low)[:k]  # ids ascend
             at = np.concatenate([above, equal])
             out += zip([name] * len(at), ids[at].tolist(), scores[at].tolist(), strict=True)
-    return _table(out, ["query_id", "vec_id", "score"])
+    return _table(out, ["query_row", "vec_id", "score"])
 
 
 def _table(rows: list[tuple], names: list[str]) -> pa.Table:

@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from factmark.llm import neardup
+from factmark.session import Scratch
 
 SCHEMA = "doc_id long, text string, component_id string, bucket int"
 
@@ -70,5 +71,7 @@ def test_signatures_agree_about_as_often_as_sets_overlap():
 def test_components_are_closed(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 10 != 9] + [(50, 60), (50, 70)],
                                   "a long, b long")
-    got = {r["node"]: r["component"] for r in neardup.components(links).collect()}
+    with Scratch(spark, "test") as scratch:
+        got = {r["node"]: r["component"]
+               for r in neardup.components(links, scratch, 4).collect()}
     assert got == {i: i // 10 * 10 for i in range(40)} | {50: 50, 60: 50, 70: 50}

@@ -28,6 +28,13 @@ def test_words_give_the_ids_of_whole_texts():
                                     for _ in range(r.randrange(40))) for _ in range(300)]
     flat, offsets = coder.encode(pa.array(texts, pa.string()), 1)
     whole = coder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+    for i, w in enumerate(whole):
+        assert flat[offsets[i]:offsets[i + 1]].tolist() == [*w.ids, 1], texts[i]
+    letters = [chr(c) for c in range(0x21, 0x180)]
+    texts += ["".join(r.choice(letters) for _ in range(r.randrange(1, 12))) for _ in range(3000)]
+    texts += ["ÀÉÎ'LL ŸŠž's x'RE", "ŉoſſ ßẞ ×÷ İı"]
+    flat, offsets = coder.encode(pa.array(texts, pa.string()), 1)
+    whole = coder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
     for i, w in enumerate(whole):
         assert flat[offsets[i]:offsets[i + 1]].tolist() == [*w.ids, 1], texts[i]
     coder.KEPT = 50  # forgetting words changes nothing
