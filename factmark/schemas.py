@@ -30,7 +30,11 @@ DATASETS = _schema(
 VERSIONS = _schema(
     ("dataset_id", STR), ("version_number", INT), ("version_id", STR),
     ("content_hash", STR), ("row_count", LNG), ("knowledge_date", DAY),
-    ("note", STR), ("created_at", TS))
+    ("note", STR), ("created_at", TS), ("load", STR))
+
+INDEX = _schema(
+    *[(f.name, f.dataType) for f in FACT_IN.fields[:5]], ("version_number", INT), ("load", STR),
+    ("bucket", INT))
 
 PANEL = _schema(("entity_id", STR), ("effective_date", DAY), ("value", DBL))
 

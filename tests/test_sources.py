@@ -1,5 +1,6 @@
 """Files to facts, archives to manifests, loads to versions."""
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,6 +189,94 @@ def test_half_written_versions_are_invisible_and_replaced(spark, store, facts_of
     assert versions.read_facts(spark, root, "d").count() == 4
 
 
+def test_two_loads_at_once_get_two_numbers_and_lose_nothing(spark, store, facts_of, monkeypatch):
+    root, catalog = store
+    first = facts_of([("A", "x", 1.0, "2020-01-01", "2020-02-01")]).drop("version_number")
+    second = facts_of([("A", "x", 2.0, "2020-01-01", "2020-03-01")]).drop("version_number")
+    inside, whole = [], versions._write
+
+    def interleaved(*args):
+        folders = whole(*args)
+        if not inside:  # while the second load is written, the first one begins and ends
+            inside.append(True)
+            inside.append(versions.append_facts(spark, root, "d", first, catalog))
+        return folders
+
+    monkeypatch.setattr(versions, "_write", interleaved)
+    assert versions.append_facts(spark, root, "d", second, catalog) == "d@v2"
+    assert inside[1] == "d@v1"
+    stored = {(r.version_number, r.value, r.is_restatement)
+              for r in versions.read_facts(spark, root, "d").collect()}
+    assert stored == {(1, 1.0, False), (2, 2.0, True)}  # marked against the load that came first
+    assert [r.version_number for r in versions.versions(spark, root, "d").collect()] == [1, 2]
+
+
+def test_marking_reads_the_index_and_no_fact_file(spark, store, facts_of, tmp_path):
+    root, catalog = store
+    many = [(f"E{i}", "x", float(i), "2020-01-01", "2020-02-01") for i in range(300)]
+    versions.append_facts(spark, root, "d", facts_of(many).drop("version_number"), catalog)
+    shutil.move(f"{root}/facts", f"{tmp_path}/away")  # no fact can be read
+    late = facts_of([("E7", "x", 7.0, "2020-01-01", "2020-03-01"), ("E8", "x", 9.0, "2020-01-01", "2020-03-01"),
+                     ("E9", "x", 5.0, "2020-01-01", "2020-01-15")]).drop("version_number")
+    assert versions.append_facts(spark, root, "d", late, catalog) == "d@v2"
+    marked = {r.entity_id: r.is_restatement for r in spark.read.parquet(f"{root}/facts").collect()}
+    assert marked == {"E7": False, "E8": True, "E9": True}
+    own = sorted({r.bucket for r in versions._bucketed(late).select("bucket").collect()})
+    read = versions.first_values(spark, root, "d", own)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert {r.bucket for r in read.collect()} == set(own)
+    index = versions.first_values(spark, root, "d").where("version_number = 2").collect()
+    assert [(r.entity_id, r.value) for r in index] == [("E9", 5.0)]  # known earlier: now first
+
+
+def test_marks_are_those_of_the_whole_history(spark, store, facts_of):
+    import random
+    from factmark.operators.bitemporal import mark_restatements
+    root, catalog = store
+    r, history = random.Random(6), None
+    for number in range(1, 5):
+        rows = [(r.choice("ABC"), "x", float(r.randrange(3)), f"2020-01-0{r.randrange(1, 4)}",
+                 f"2020-0{r.randrange(2, 6)}-01") for _ in range(12)]
+        load = facts_of(rows, version=number)
+        want = mark_restatements(load, history)
+        history = load if history is None else history.union(load)
+        versions.append_facts(spark, root, "d", load.drop("version_number"), catalog)
+        columns = ["entity_id", "value", "effective_date", "knowledge_date", "is_restatement"]
+        got = versions.read_facts(spark, root, "d").where(f"version_number = {number}")
+        assert sorted(map(tuple, got.select(columns).collect())) == sorted(
+            map(tuple, want.select(columns).collect()))
+
+
+def test_reads_of_datasets_that_are_not_point_in_time_are_refused(spark, store, facts_of):
+    root, catalog = store
+    odd = "a/b 1%=é"
+    both = catalog.union(spark.createDataFrame([(odd, None, False, "no vintages")], DATASETS))
+    for name in ("d", odd):
+        versions.append_facts(spark, root, name, facts_of(LOAD).drop("version_number"), both)
+    assert versions.read(spark, root, "d", both).count() == 3
+    assert versions.read_facts(spark, root, odd).count() == 3
+    for name in (odd, "nowhere"):
+        with pytest.raises(PointInTimeError):
+            versions.read(spark, root, name, both)
+
+
+def test_digests_name_the_buckets_that_differ(spark, facts_of):
+    from factmark.operators import fingerprint
+    rows = [(f"E{i}", "x", 0.1 * i, "2020-01-01", "2020-02-01") for i in range(50)] * 2
+    one, other = facts_of(rows), facts_of(rows[:7] + rows[8:] + [rows[8]])
+    digests = [fingerprint.bucket_digests(d, ["entity_id"], 16) for d in (one, other)]
+    differ = fingerprint.differing_buckets(*digests, []).collect()
+    where = {r.bucket for r in one.where("entity_id IN ('E7', 'E8')").select(
+        fingerprint.key_bucket(["entity_id"], 16).alias("bucket")).collect()}
+    assert {r.bucket for r in differ} == where
+    same = [fingerprint.fingerprint(d).first().content_hash for d in (one, one.repartition(7))]
+    assert same[0] == same[1] != fingerprint.fingerprint(other).first().content_hash
+    split = spark.createDataFrame([("a", "bc"), ("ab", "c"), (None, "~"), ("~", None)], "p string, q string")
+    texts = [r[0] for r in split.select(fingerprint.row_text(["p", "q"])).collect()]
+    assert len(set(texts)) == 4
+
+
 def test_empty_and_unregistered_loads_are_refused(spark, store, facts_of):
     root, catalog = store
     with pytest.raises(ResearchError):
