@@ -48,7 +48,7 @@ def split_labels(labels: DataFrame, n_splits: int) -> tuple[DataFrame, DataFrame
 
 def _assigned(labels: DataFrame, n_splits: int) -> DataFrame:
     if n_splits < 2:
-        raise ResearchError("n_splits must be at least 2")
+        raise ResearchError(f"{n_splits} folds leave no rows to train on")
     sizes = materialise(labels.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")), "sizes")
     return labels.join(sizes, "series_id").withColumn(
         "own_fold", fold_of(F.col("idx"), F.col("n"), n_splits))
@@ -61,7 +61,7 @@ def fold_bounds(labels: DataFrame, n_splits: int = 5, embargo_pct: float = 0.01)
     the fold's last one, whatever time they cover.
     """
     if not 0.0 <= embargo_pct < 0.5:
-        raise ResearchError("embargo_pct must be in [0, 0.5)")
+        raise ResearchError(f"an embargo of {embargo_pct} is not a share below one half")
     bounds = _assigned(labels, n_splits).groupBy("series_id", "n", "own_fold").agg(
         F.min("t0").alias("test_start"), F.max("t1").alias("test_end"),
         F.max("idx").alias("last_idx"), F.count(F.lit(1)).alias("n_test"))

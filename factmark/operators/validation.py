@@ -31,7 +31,7 @@ def fact_reasons(facts: DataFrame) -> DataFrame:
 
 
 def split_facts(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, rejected). A fact cannot be known before the period it describes."""
+    """Facts fit to be stored, and the others with what is wrong with each."""
     return _split(fact_reasons(facts))
 
 

@@ -79,7 +79,7 @@ def deflate_sweep(trials: DataFrame, attempt: str, params: DataFrame,
         {"observed_sharpe": F.col("best_sharpe"), "status": status}))
 
 
-def counted_sweep(returns: DataFrame, params: list[dict], ledger_path: str, search_id: str,
+def counted_sweep(returns: DataFrame, params: list[dict] | DataFrame, ledger_path: str, search_id: str,
                   rule: sweep.Rule | None = None, dataset_id: str = "returns",
                   attempt: str | None = None) -> DataFrame:
     """Register every trial, evaluate, record the outcomes, deflate from the record.
@@ -89,7 +89,7 @@ def counted_sweep(returns: DataFrame, params: list[dict], ledger_path: str, sear
     attempt that adds to the burden of its dataset; a caller that repeats a call after a
     failure gives the same ``attempt`` and adds nothing.
     """
-    spark = returns.sparkSession
+    spark, params = returns.sparkSession, sweep.parameter_list(params)
     attempt = attempt or uuid.uuid4().hex
     returns = materialise(returns.select("entity_id", "effective_date", "ret"), "returns")
     entities = returns.select("entity_id").distinct()
@@ -105,7 +105,7 @@ def counted_sweep(returns: DataFrame, params: list[dict], ledger_path: str, sear
                          sweep.return_moments(returns))
 
 
-def null_benchmark(returns: DataFrame, params: list[dict], ledger_path: str, search_id: str,
+def null_benchmark(returns: DataFrame, params: list[dict] | DataFrame, ledger_path: str, search_id: str,
                    seed: int = 0, dataset_id: str = "returns", **kwargs) -> DataFrame:
     """What the search finds where order was destroyed. Reshuffled series are a dataset of
     their own, so the null adds nothing to the burden of the real one."""
@@ -221,8 +221,8 @@ def _own_figures(spark: SparkSession, ledger_path: str, dataset_id: str, attempt
 
 
 def gated_search(spark: SparkSession, root: str, dataset_id: str, field: str,
-                 datasets: DataFrame, periods: DataFrame, ledger_path: str, params: list[dict],
-                 end=None, known_by=None, search_id: str = "search",
+                 datasets: DataFrame, periods: DataFrame, ledger_path: str,
+                 params: list[dict] | DataFrame, end=None, known_by=None, search_id: str = "search",
                  run_id: str | None = None) -> DataFrame:
     """Read, admit, register, execute, record: a sweep over stored series.
 
@@ -230,8 +230,8 @@ def gated_search(spark: SparkSession, root: str, dataset_id: str, field: str,
     run that is admitted is opened in the log before anything is evaluated, and closed as
     completed or failed; a repeat after a lost driver gives the same ``run_id``.
     """
-    require_point_in_time(datasets, dataset_id)
-    panel = series(store.read_facts(spark, root, dataset_id), field, known_by, end=end)
+    params = sweep.parameter_list(params)
+    panel = series(store.read(spark, root, dataset_id, datasets), field, known_by, end=end)
     version = admit(spark, root, dataset_id, datasets, periods, panel)
     if len(panel.limit(3).collect()) < 3:
         raise ResearchError(f"{dataset_id!r} has no two returns of {field!r} to search over")

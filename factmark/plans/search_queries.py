@@ -12,7 +12,17 @@ from .price_queries import TIMING_SQL, WINDOWS
 from .registry import query, r6
 
 FAST, SLOW = 40, 90
-GRID = sweep.crossover_grid(FAST, SLOW)
+
+
+def windows_table(spark, fast: int, slow: int):
+    """Pairs of a shorter and a longer window from 2 on, as a table of parameters."""
+    return sweep.parameter_table(spark, "fast < slow", fast=range(2, fast + 1), slow=range(2, slow + 1))
+
+
+def windows_count(fast: int, slow: int) -> int:
+    return sum(slow - f for f in range(2, fast + 1))
+
+
 
 
 # --- folds and leaks ---------------------------------------------------------------------
@@ -298,8 +308,8 @@ def _returns(spark, sf_dir):
 SELECT entity_id, fast, slow, round(sharpe, 6) AS sharpe FROM trial""")
 def parameter_sweep(spark, sf_dir):
     """2,691 moving-average pairs on every series, in one shuffle."""
-    trials = sweep.sweep(_returns(spark, sf_dir), GRID, sweep.crossover_rule())
-    return trials.join(sweep.parameter_frame(spark, GRID), "trial_ord").select(
+    trials = sweep.sweep(_returns(spark, sf_dir), windows_table(spark, FAST, SLOW), sweep.crossover_rule())
+    return trials.join(windows_table(spark, FAST, SLOW), "trial_ord").select(
         "entity_id", "fast", "slow", r6("sharpe").alias("sharpe"))
 
 
@@ -307,8 +317,8 @@ def parameter_sweep(spark, sf_dir):
 SELECT entity_id, n_trials AS evaluated, round(observed_sharpe, 6) AS best_sharpe,
        fast, slow FROM best""")
 def best_of_sweep(spark, sf_dir):
-    trials = sweep.sweep(_returns(spark, sf_dir), GRID, sweep.crossover_rule())
-    best = sweep.best_trial(trials, sweep.parameter_frame(spark, GRID))
+    trials = sweep.sweep(_returns(spark, sf_dir), windows_table(spark, FAST, SLOW), sweep.crossover_rule())
+    best = sweep.best_trial(trials, windows_table(spark, FAST, SLOW))
     return best.withColumn("best_sharpe", r6("best_sharpe")).drop("trial_ord")
 
 
@@ -331,18 +341,18 @@ def _swept(out):
   fast, slow, round(observed_sharpe, 6) AS best_sharpe''')} SELECT * FROM d""")
 def counted_sweep(spark, sf_dir):
     """Register every trial, evaluate, record, then deflate from the ledger."""
-    return _swept(research.counted_sweep(_returns(spark, sf_dir), GRID,
+    return _swept(research.counted_sweep(_returns(spark, sf_dir), windows_table(spark, FAST, SLOW),
                                          scratch_path(spark, "ledger"), "real"))
 
 
-_SMALL = sweep.crossover_grid(4, 12)
+_SMALL = windows_count(4, 12)
 
 
 @query(f"""WITH {b.PRICE_SQL}{b.RETURNS_SQL}
-SELECT entity_id, CAST({2 * len(_SMALL)} AS BIGINT) AS n_trials,
-       CAST({2 * len(_SMALL)} AS BIGINT) AS trials_with_outcome, 'searched' AS status
+SELECT entity_id, CAST({2 * _SMALL} AS BIGINT) AS n_trials,
+       CAST({2 * _SMALL} AS BIGINT) AS trials_with_outcome, 'searched' AS status
 FROM rets GROUP BY 1
-UNION ALL SELECT 'first two of ' || min(entity_id), {2 * len(_SMALL)}, 0, 'no trial reported' FROM rets""")
+UNION ALL SELECT 'first two of ' || min(entity_id), {2 * _SMALL}, 0, 'no trial reported' FROM rets""")
 def search_burden(spark, sf_dir):
     """Two searches and a repeat of the first: each series counts both, the repeat nothing.
     A series too short for any parameters keeps its row."""
@@ -354,7 +364,7 @@ def search_burden(spark, sf_dir):
         .drop("_t").withColumn("entity_id", F.lit(f"first two of {first}"))
     every, path = returns.union(short), scratch_path(spark, "burden")
     for search, attempt in (("s1", "first"), ("s2", "second"), ("s1", "first")):
-        found = research.counted_sweep(every, _SMALL, path, search, attempt=attempt)
+        found = research.counted_sweep(every, windows_table(spark, 4, 12), path, search, attempt=attempt)
     return found.select("entity_id", "n_trials", "trials_with_outcome", "status")
 
 
@@ -385,8 +395,8 @@ def null_comparison(spark, sf_dir):
     """The same counted search on real and on reshuffled returns."""
     returns = _returns(spark, sf_dir)
     path = scratch_path(spark, "ledger")
-    real = research.counted_sweep(returns, GRID, path, "real")
-    null = research.null_benchmark(returns, GRID, path, "null", seed=7)
+    real = research.counted_sweep(returns, windows_table(spark, FAST, SLOW), path, "real")
+    null = research.null_benchmark(returns, windows_table(spark, FAST, SLOW), path, "null", seed=7)
     return sweep.compare_to_null(real, null).withColumns({
         "real_best": r6("real_best"), "null_best": r6("null_best"),
         "null_as_fraction_of_real": r6("null_as_fraction_of_real", 4)})

@@ -11,6 +11,7 @@ from ..streaming import bars, ingest
 from . import bindings as b
 from . import research
 from .registry import query, r6
+from .search_queries import windows_count, windows_table
 
 _PRICE4 = f"""{b.PRICE_SQL}, cents AS (
   SELECT entity_id, effective_date, CAST(round(value, 0) AS BIGINT) AS cents FROM price)"""
@@ -207,8 +208,8 @@ def idempotent_load(spark, sf_dir):
     root, ids = _two_loads(spark, sf_dir)
     returned = spark.createDataFrame(list(zip(("first", "second", "first again"), ids)),
                                      "load string, version_id string")
-    return returned.join(versions.versions(spark, root, "orders"), "version_id").select(
-        "load", "version_id", "row_count")
+    stored = versions.versions(spark, root, "orders").select("version_id", "row_count")
+    return returned.join(stored, "version_id").select("load", "version_id", "row_count")
 
 
 @query(f"""WITH {b.FACTS_SQL}
@@ -233,9 +234,25 @@ def stored_facts(spark, sf_dir):
         "is_restatement")
 
 
-@query()
+def _digest_sql(columns: list[str], where: str = "") -> str:
+    """The multiset digest in SQL; a bucket's rows with ``where``."""
+    text = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '~')"
+                       for c in columns)
+    half = lambda at: (f"sum(CAST(('0x' || substr(md5({text}), {at}, 16)) AS UBIGINT)"
+                       "::HUGEINT)")
+    return f"md5(count(*) || '|' || {half(1)} || '|' || {half(17)})"
+
+
+_CONTENT = sorted(versions.CONTENT)
+_BUCKET_SQL = ("CAST(CAST('0x' || substr(md5(length(entity_id) || ':' || entity_id), 1, 8) AS UBIGINT)"
+               " % 64 AS INTEGER)")
+
+
+@query(f"""WITH {b.FACTS_SQL}
+SELECT CAST(version_number AS INTEGER) AS version_number, count(*) AS row_count,
+       {_digest_sql(_CONTENT)} AS content_hash FROM facts GROUP BY version_number""")
 def content_hash(spark, sf_dir):
-    """Order-insensitive fingerprint of each load (engine-specific, so rows only)."""
+    """Order-insensitive fingerprint of each load, as any engine computes it."""
     facts = b.facts(spark, sf_dir).select("version_number", *versions.CONTENT)
     return fingerprint.fingerprint(facts, ["version_number"])
 
@@ -254,6 +271,21 @@ def replay_check(spark, sf_dir):
     return out.select("version_number", "row_count", "reproduced")
 
 
+@query(f"""WITH {b.FACTS_SQL}, changed AS (
+  SELECT *, {_BUCKET_SQL} AS bucket FROM facts)
+SELECT CAST(version_number AS INTEGER) AS version_number, bucket, count(*) AS recorded_rows,
+       count(*) FILTER (entity_id <> '1') AS recomputed_rows FROM changed
+GROUP BY 1, 2 HAVING count(*) FILTER (value > 104000 OR entity_id = '1') > 0""")
+def differing_buckets(spark, sf_dir):
+    """Where a recomputation with changed and lost facts differs from the record."""
+    facts = b.facts(spark, sf_dir).select("version_number", *versions.CONTENT)
+    again = facts.where("entity_id <> '1'").withColumn("value", F.when(
+        F.col("value") > 104000, F.col("value") + 1).otherwise(F.col("value")))
+    sides = [fingerprint.bucket_digests(x, ["entity_id"], 64, ["version_number"])
+             for x in (facts, again)]
+    return fingerprint.differing_buckets(*sides, ["version_number"])
+
+
 # --- composed jobs ------------------------------------------------------------------------------------
 
 _UNIVERSE_SQL = f"""{_FILING_SQL},
@@ -312,12 +344,12 @@ def vintage_load(spark, sf_dir):
     return ends.join(revised, "effective_date")
 
 
-_GATE_PARAMS = sweep.crossover_grid(6, 20)
+_GATE = 6, 20
 
 
 @query(f"""WITH {b.PRICE_SQL}, kept AS (SELECT * FROM price WHERE effective_date <= DATE '2000-12-31')
-SELECT entity_id, count(*) - 1 AS sample_length, CAST({len(_GATE_PARAMS)} AS BIGINT) AS n_trials,
-       CAST({len(_GATE_PARAMS)} AS BIGINT) AS trials_with_outcome, 'prices@v1' AS dataset_version,
+SELECT entity_id, count(*) - 1 AS sample_length, CAST({windows_count(*_GATE)} AS BIGINT) AS n_trials,
+       CAST({windows_count(*_GATE)} AS BIGINT) AS trials_with_outcome, 'prices@v1' AS dataset_version,
        true AS reproduced, true AS holdout_refused FROM kept GROUP BY 1""")
 def gated_search(spark, sf_dir):
     """Load prices, refuse a read into the holdout, run a counted search, replay it."""
@@ -330,11 +362,11 @@ def gated_search(spark, sf_dir):
     held = spark.sql("SELECT 'prices' AS dataset_id, DATE '2001-01-01' AS start_date, "
                      "DATE '2001-12-31' AS end_date")
     try:
-        research.gated_search(spark, root, "prices", "close", known, held, log, _GATE_PARAMS)
+        research.gated_search(spark, root, "prices", "close", known, held, log, windows_table(spark, *_GATE))
         refused = False
     except HoldoutViolation:
         refused = True
-    found = research.gated_search(spark, root, "prices", "close", known, held, log, _GATE_PARAMS,
+    found = research.gated_search(spark, root, "prices", "close", known, held, log, windows_table(spark, *_GATE),
                                   end="2000-12-31", search_id="in-sample")
     replay = research.replay_search(spark, root, log, found.first().run_id,
                                     scratch_path(spark, "replay"))
@@ -357,7 +389,7 @@ def failed_runs(spark, sf_dir):
                         spark.createDataFrame([("prices", "daily", True, None)], DATASETS))
     versions.append_facts(spark, root, "prices", facts, known)
     held = spark.createDataFrame([], "dataset_id string, start_date date, end_date date")
-    for search, params in (("in-sample", _GATE_PARAMS), ("crossed windows", [{"fast": 9, "slow": 3}])):
+    for search, params in (("in-sample", windows_table(spark, *_GATE)), ("crossed windows", [{"fast": 9, "slow": 3}])):
         try:
             research.gated_search(spark, root, "prices", "close", known, held, log, params,
                                   search_id=search)

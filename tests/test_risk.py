@@ -156,6 +156,29 @@ def test_scenarios_keep_weights_and_square_the_multiplier(spark):
     assert len(rows) == allocation.scenarios(spark).count() == 4
 
 
+def test_wide_portfolios_by_gradient_equal_the_dense_solution(spark):
+    r = np.random.default_rng(11)
+    scale = np.array([0.001, 0.01, 0.02, 0.3, 0.05, 0.004])
+    x = (r.normal(size=(60, 6)) @ (np.eye(6) + 0.4 * r.normal(size=(6, 6)))) * scale + 0.01 * scale
+    twin = np.hstack([x[:, :3], x[:, :1]])
+    returns = _asset_returns(spark, x, "abcdef").unionByName(
+        _asset_returns(spark, twin, "abcd", "twin")).unionByName(
+        _asset_returns(spark, x[:2, :3], "abc", "two dates")).unionByName(
+        _asset_returns(spark, x[:1, :1], "a", "one date"))
+    holed = returns.where("NOT (entity_id = 'b' AND effective_date = DATE '2020-01-09')")
+    for rows in (returns, holed):
+        want = {m.portfolio_id: m for m in allocation.return_moments(rows, 0.0001).collect()}
+        got = {m.portfolio_id: m for m in allocation.return_moments(rows, 0.0001, dense=0).collect()}
+        assert got["p"].status == want["p"].status == "solved" and got["p"].covariance is None
+        assert got["p"].assets == want["p"].assets and got["p"].n_dates == want["p"].n_dates
+        assert np.allclose(got["p"].weights, want["p"].weights, rtol=1e-9, atol=0)
+        assert got["p"].variance == pytest.approx(want["p"].variance, rel=1e-9)
+        assert got["twin"].status == "singular" and got["twin"].weights is None
+        # Three assets on two dates: singular by rank, no matrix is built.
+        assert (want["two dates"].status, want["two dates"].covariance) == ("singular", None)
+        assert want["one date"].status == "fewer than two dates"
+
+
 def test_bet_log_kelly(spark):
     bets = spark.createDataFrame([("s", True, 2.0)] * 6 + [("s", False, 1.0)] * 4
                                  + [("t", True, 1.0)], "strategy string, win boolean, amount double")
