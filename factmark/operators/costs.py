@@ -42,8 +42,8 @@ def unknown_instruments(trades: DataFrame, instruments: DataFrame) -> DataFrame:
         .otherwise("no such instrument"))
 
 
-def borrow_check(trades: DataFrame, instruments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(positions with their borrow fee, refused shorts).
+def borrow_decisions(trades: DataFrame, instruments: DataFrame) -> DataFrame:
+    """Every position with ``refused``, and its ``borrow_fee`` where it is not.
 
     Borrow that is not there cannot be paid for: a larger short is refused, not priced.
     """
@@ -52,8 +52,16 @@ def borrow_check(trades: DataFrame, instruments: DataFrame) -> tuple[DataFrame,
     refused = F.coalesce(borrow_refused(F.col("shares"), F.col("borrow_available")), F.lit(False))
     fee = borrow_cost(F.col("shares"), F.col("price"), F.col("borrow_fee_annual"),
                       F.col("days_held"))
-    return (both.where(~refused).select(*trades.columns, fee.alias("borrow_fee")),
-            both.where(refused).select(*trades.columns, "borrow_available"))
+    return both.select(*trades.columns, "borrow_available", refused.alias("refused"),
+                       F.when(~refused, fee).alias("borrow_fee"))
+
+
+def borrow_check(trades: DataFrame, instruments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(positions with their borrow fee, refused shorts). The two are filters of one plan:
+    a caller that needs both takes ``borrow_decisions``."""
+    decided = borrow_decisions(trades, instruments)
+    return (decided.where(~F.col("refused")).select(*trades.columns, "borrow_fee"),
+            decided.where("refused").select(*trades.columns, "borrow_available"))
 
 
 def capacity(instruments: DataFrame, gross_sharpe: float, turnover_per_year: float,

@@ -73,12 +73,34 @@ def fold_bounds(labels: DataFrame, n_splits: int = 5, embargo_pct: float = 0.01)
         (F.col("last_idx") + span).alias("embargo_end"))).alias("folds")), "bounds")
 
 
-def purged_folds(labels: DataFrame, n_splits: int = 5, embargo_pct: float = 0.01) -> DataFrame:
-    """(series_id, fold, idx, role) with role test, purged, embargoed or train."""
+ROLES = ("test", "purged", "embargoed", "train")
+
+
+def purged_folds(labels: DataFrame, n_splits: int = 5, embargo_pct: float = 0.01,
+                 roles: tuple[str, ...] = ROLES) -> DataFrame:
+    """(series_id, fold, idx, role) with role test, purged, embargoed or train. Of the
+    folds of a row only those in which it plays one of ``roles`` become rows."""
     bounds = fold_bounds(labels, n_splits, embargo_pct)
-    rows = labels.join(bounds, "series_id").withColumn("f", F.explode("folds"))
-    return rows.select("series_id", F.col("f.fold").alias("fold"), "idx",
-                       _role(F.col("f"), n_splits).alias("role"))
+    played = F.filter(F.transform("folds", lambda f: F.struct(
+        f["fold"].alias("fold"), _role(f, n_splits).alias("role"))),
+        lambda f: f["role"].isin(*roles))
+    return labels.join(bounds, "series_id").select("series_id", "idx", F.explode(played).alias("f")) \
+        .select("series_id", "f.fold", "idx", "f.role")
+
+
+def checked_folds(labels: DataFrame, n_splits: int = 5,
+                  embargo_pct: float = 0.01) -> tuple[DataFrame, DataFrame]:
+    """The folds of every series that can be split, and the series refused with all their
+    reasons: labels that end before they start, are out of order or fewer than the folds,
+    and series of which some fold is left without training rows."""
+    fit, bad = split_labels(labels, n_splits)
+    bad = bad.select("series_id", "reasons").distinct()
+    folds = materialise(purged_folds(fit, n_splits, embargo_pct), "folds")
+    empty = materialise(fold_sizes(folds).where("NOT usable").groupBy("series_id").agg(
+        F.array(F.concat(F.lit("nothing to train on in fold "), F.concat_ws(
+            ", ", F.array_sort(F.collect_list(F.col("fold").cast("string")))))).alias("reasons")),
+        "empty-folds")
+    return folds.join(empty, "series_id", "left_anti"), bad.unionByName(empty)
 
 
 def _role(fold: Column, n_splits: int) -> Column:

@@ -56,12 +56,9 @@ SELECT order_id, symbol, shares, days_held,
 FROM trades JOIN instruments USING (symbol)""")
 def borrow_check(spark, sf_dir):
     """Shorts beyond the borrow available are refused; the rest pay a fee."""
-    held, refused = costs.borrow_check(b.trades(spark, sf_dir), b.instruments(spark, sf_dir))
-    columns = ["order_id", "symbol", "shares", "days_held", "refused", "borrow_fee"]
-    return (held.withColumns({"refused": F.lit(False), "borrow_fee": r6("borrow_fee")})
-            .select(*columns).unionByName(refused.withColumns({
-                "refused": F.lit(True), "borrow_fee": F.lit(None).cast("double")})
-                .select(*columns)))
+    decided = costs.borrow_decisions(b.trades(spark, sf_dir), b.instruments(spark, sf_dir))
+    return decided.select("order_id", "symbol", "shares", "days_held", "refused",
+                          r6("borrow_fee").alias("borrow_fee"))
 
 
 def _net_sql(aum: str) -> str:

@@ -80,13 +80,16 @@ def _caps(spark, sf_dir):
         F.to_date("o_orderdate").alias("effective_date")).agg(F.sum("o_totalprice").alias("value"))
 
 
-@query(f"""WITH {b.FIRSTS_SQL}, {_CAPS_SQL},
+_BOOK_SQL = f"""{b.FIRSTS_SQL}, {_CAPS_SQL},
 known AS (
   SELECT c.entity_id, c.effective_date, c.cap, f.effective_date AS period, f.value,
          row_number() OVER (PARTITION BY c.entity_id, c.effective_date
                             ORDER BY f.effective_date DESC) AS r
   FROM caps c LEFT JOIN firsts f ON f.entity_id = c.entity_id AND f.field = 'line_1'
-       AND f.knowledge_date <= c.effective_date)
+       AND f.knowledge_date <= c.effective_date)"""
+
+
+@query(f"""WITH {_BOOK_SQL}
 SELECT entity_id, effective_date, period, round(value / cap, 6) AS factor FROM known WHERE r = 1""")
 def book_to_market(spark, sf_dir):
     """As-of join on two levels: latest period known, then that period's first report."""
@@ -118,17 +121,30 @@ def causality_check(spark, sf_dir):
 
 
 # The factor registry rows expected beside the factor's coverage.
-@query(f"""WITH {b.SUPPLIER_PRICE_SQL}, m AS (
-  SELECT lag(value, 252) OVER w AS a, lag(value, 21) OVER w AS b FROM price {_OVER})
+@query(f"""WITH {b.SUPPLIER_PRICE_SQL}, {_BOOK_SQL}, m AS (
+  SELECT lag(value, 252) OVER w AS a, lag(value, 21) OVER w AS b, row_number() OVER w AS t
+  FROM price {_OVER})
 SELECT 'momentum' AS name, 'positive' AS direction, count(a) AS values FROM m
-UNION ALL SELECT 'reversal', 'positive', count(b) FROM m""")
+UNION ALL SELECT 'reversal', 'positive', count(b) FROM m
+UNION ALL SELECT 'volatility', 'negative', count(*) FROM m WHERE t > 21
+UNION ALL SELECT 'size', 'negative', count(*) FROM customer WHERE c_acctbal > 0
+UNION ALL SELECT 'book_to_market', 'positive', count(value / cap) FROM known WHERE r = 1""")
 def factor_registry(spark, sf_dir):
-    """Registry metadata joined to how many values each price factor produced."""
+    """Registry metadata joined to how many values each registered factor produced."""
+    from ..operators import bitemporal
     panel = b.supplier_prices(spark, sf_dir)
-    counts = [fn(panel).agg(F.count("factor").alias("values")).withColumn("name", F.lit(name))
-              for name, fn in (("momentum", factors.momentum), ("reversal", factors.reversal))]
-    return counts[0].unionByName(counts[1]).join(factors.registry(spark), "name").select(
-        "name", "direction", "values")
+    first = bitemporal.first_reports(b.facts(spark, sf_dir).where("field = 'line_1'"))
+    made = {"momentum": factors.momentum(panel), "reversal": factors.reversal(panel),
+            "volatility": factors.realised_volatility(panel),
+            "size": factors.market_size(b.table(spark, sf_dir, "customer").select(
+                F.col("c_custkey").alias("entity_id"), F.col("c_acctbal").alias("value"))),
+            "book_to_market": factors.book_to_market(_caps(spark, sf_dir), first)}
+    counts = [rows.agg(F.count("factor").alias("values")).withColumn("name", F.lit(name))
+              for name, rows in made.items()]
+    every = counts[0]
+    for other in counts[1:]:
+        every = every.unionByName(other)
+    return factors.registry(spark).join(every, "name", "left").select("name", "direction", "values")
 
 
 @query(f"""WITH {b.SUPPLIER_PRICE_SQL}, f AS (

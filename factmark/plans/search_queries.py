@@ -36,7 +36,8 @@ def label_index(spark, sf_dir):
 SELECT series_id, CAST(fold AS INTEGER) AS fold, role, count(*) AS rows, min(idx) AS first_idx,
        max(idx) AS last_idx FROM roles GROUP BY ALL""")
 def purged_folds(spark, sf_dir):
-    return folds.purged_folds(b.labels(spark, sf_dir)).groupBy("series_id", "fold", "role").agg(
+    split, _ = folds.checked_folds(b.labels(spark, sf_dir))
+    return split.groupBy("series_id", "fold", "role").agg(
         F.count(F.lit(1)).alias("rows"), F.min("idx").alias("first_idx"),
         F.max("idx").alias("last_idx"))
 
@@ -45,7 +46,7 @@ def purged_folds(spark, sf_dir):
 SELECT series_id, CAST(fold AS INTEGER) AS fold, idx FROM roles WHERE role = 'purged'""")
 def purge_join(spark, sf_dir):
     """Training rows whose label interval overlaps a fold's test window."""
-    return folds.purged_folds(b.labels(spark, sf_dir)).where("role = 'purged'").select(
+    return folds.purged_folds(b.labels(spark, sf_dir), roles=("purged",)).select(
         "series_id", "fold", "idx")
 
 
@@ -197,23 +198,24 @@ def normal_round_trip(spark, sf_dir):
         "o_orderkey", r6("p").alias("cdf"), r6(norm_ppf(F.col("p"))).alias("back"))
 
 
-def _deflate_sql(source: str, keep: str) -> str:
+def _deflate_sql(source: str, keep: str, tag: str = "") -> str:
     """CTEs ending in ``d``: rows of ``source`` with the deflated figures."""
+    sizes, unit, z, d = (n + tag for n in ("sizes", "unit", "z", "d"))
     return f"""
-sizes AS (SELECT DISTINCT n_trials FROM {source}),
-unit AS (SELECT n_trials, CASE WHEN n_trials > 1 THEN
+{sizes} AS (SELECT DISTINCT n_trials FROM {source}),
+{unit} AS (SELECT n_trials, CASE WHEN n_trials > 1 THEN
     (1 - 0.5772156649015329) * {_ppf_sql('(1.0 - 1.0 / n_trials)')}
-    + 0.5772156649015329 * {_ppf_sql('(1.0 - exp(-1.0) / n_trials)')} ELSE 0 END AS e FROM sizes),
-z AS (SELECT s.*, sqrt(var_trials) * e AS sr0, e,
+    + 0.5772156649015329 * {_ppf_sql('(1.0 - exp(-1.0) / n_trials)')} ELSE 0 END AS e FROM {sizes}),
+{z} AS (SELECT s.*, sqrt(var_trials) * e AS sr0, e,
     (observed_sharpe - sqrt(var_trials) * e) * sqrt(sample_length - 1)
       / sqrt(1 - skew * observed_sharpe + (kurtosis - 1) / 4 * observed_sharpe * observed_sharpe)
-      AS stat FROM {source} s JOIN unit USING (n_trials)),
-d AS (SELECT {keep}, CASE WHEN var_trials > 0 THEN round(sr0, 6) END AS expected_max_sharpe,
+      AS stat FROM {source} s JOIN {unit} USING (n_trials)),
+{d} AS (SELECT {keep}, CASE WHEN var_trials > 0 THEN round(sr0, 6) END AS expected_max_sharpe,
     CASE WHEN var_trials > 0 THEN round({_cdf_sql('stat')}, 6) END AS deflated_sharpe,
     CASE WHEN observed_sharpe > 0 THEN round(pow(e / observed_sharpe, 2), 4) END
       AS min_backtest_length,
     coalesce(CASE WHEN observed_sharpe > 0 THEN sample_length < pow(e / observed_sharpe, 2) END,
-             false) AS sample_too_short FROM z)"""
+             false) AS sample_too_short FROM {z})"""
 
 
 _RESULT_SQL = f"""{_INPUTS_SQL}, results AS (
@@ -274,23 +276,23 @@ def ledger_violations(spark, sf_dir):
 
 # --- sweeps ------------------------------------------------------------------------------------
 
-def _sweep_sql(source: str, tag: str = "") -> str:
+def _sweep_sql(source: str, tag: str = "", fast: int = 40, slow: int = 90) -> str:
     """CTEs from returns (entity_id, effective_date, ret) to every trial and the best."""
     px, means, trial, best = (n + tag for n in ("px", "means", "trial", "best"))
     return f"""
 {px} AS (SELECT *, list(value) OVER (PARTITION BY entity_id ORDER BY effective_date
-                ROWS BETWEEN {SLOW - 1} PRECEDING AND CURRENT ROW) AS recent
+                ROWS BETWEEN {slow - 1} PRECEDING AND CURRENT ROW) AS recent
    FROM (SELECT entity_id, effective_date, row_number() OVER w AS t,
                 count(*) OVER (PARTITION BY entity_id) AS n, lead(ret) OVER w AS nr,
                 exp(sum(ln(1 + ret)) OVER w) AS value FROM {source}
          WINDOW w AS (PARTITION BY entity_id ORDER BY effective_date))),
 {means} AS (SELECT entity_id, t, k, list_avg(recent[-k:]) AS m
-   FROM {px} JOIN (SELECT unnest(range(2, {SLOW + 1})) AS k) ks ON t >= k WHERE nr IS NOT NULL),
+   FROM {px} JOIN (SELECT unnest(range(2, {slow + 1})) AS k) ks ON t >= k WHERE nr IS NOT NULL),
 {trial} AS (SELECT f.entity_id, f.k AS fast, s.k AS slow,
    avg(CASE WHEN f.m > s.m THEN 0 ELSE -p.nr END)
      / stddev_samp(CASE WHEN f.m > s.m THEN 0 ELSE -p.nr END) AS sharpe
    FROM {means} f
-   JOIN {means} s ON s.entity_id = f.entity_id AND s.t = f.t AND f.k < s.k AND f.k <= {FAST}
+   JOIN {means} s ON s.entity_id = f.entity_id AND s.t = f.t AND f.k < s.k AND f.k <= {fast}
    JOIN {px} p ON p.entity_id = f.entity_id AND p.t = f.t WHERE p.n > s.k + 2 GROUP BY ALL),
 {best} AS (SELECT entity_id, count(*) AS n_trials, var_samp(sharpe) AS var_trials,
    max(sharpe) AS observed_sharpe, arg_max(fast, sharpe) AS fast, arg_max(slow, sharpe) AS slow
@@ -384,13 +386,21 @@ def reshuffled_returns(spark, sf_dir):
 
 
 @query(f"""WITH {b.PRICE_SQL}{b.RETURNS_SQL}, {_SHUFFLE_SQL},
-{_sweep_sql('rets', '_real')}, {_sweep_sql('shuffled', '_null')}
+{_sweep_sql('rets', '_real')}, {_sweep_sql('shuffled', '_null')},
+{_MOMENTS.replace('results AS (SELECT * FROM best JOIN mom USING (entity_id))',
+                  'res_real AS (SELECT * FROM best_real JOIN mom USING (entity_id)), '
+                  'res_null AS (SELECT * FROM best_null JOIN mom USING (entity_id))')},
+{_deflate_sql('res_real', 'entity_id, n_trials', '_r')}, {_deflate_sql('res_null', 'entity_id, n_trials', '_n')}
 SELECT entity_id, round(r.observed_sharpe, 6) AS real_best, round(n.observed_sharpe, 6) AS null_best,
+       d_r.n_trials AS real_trials, d_n.n_trials AS null_trials, 'searched' AS real_status,
+       'searched' AS null_status, d_r.deflated_sharpe AS real_deflated,
+       d_n.deflated_sharpe AS null_deflated,
        round(n.observed_sharpe / r.observed_sharpe, 4) AS null_as_fraction_of_real,
        n.observed_sharpe >= 0.8 * r.observed_sharpe AS indistinguishable_from_noise,
        CASE WHEN n.observed_sharpe >= 0.8 * r.observed_sharpe THEN 'NOISE' ELSE 'EXCEEDS NULL' END
          AS verdict
-FROM best_real r JOIN best_null n USING (entity_id)""")
+FROM best_real r JOIN best_null n USING (entity_id) JOIN d_r USING (entity_id)
+  JOIN d_n USING (entity_id)""")
 def null_comparison(spark, sf_dir):
     """The same counted search on real and on reshuffled returns."""
     returns = _returns(spark, sf_dir)
@@ -398,7 +408,7 @@ def null_comparison(spark, sf_dir):
     real = research.counted_sweep(returns, windows_table(spark, FAST, SLOW), path, "real")
     null = research.null_benchmark(returns, windows_table(spark, FAST, SLOW), path, "null", seed=7)
     return sweep.compare_to_null(real, null).withColumns({
-        "real_best": r6("real_best"), "null_best": r6("null_best"),
+        **{c: r6(c) for c in ("real_best", "null_best", "real_deflated", "null_deflated")},
         "null_as_fraction_of_real": r6("null_as_fraction_of_real", 4)})
 
 

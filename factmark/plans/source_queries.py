@@ -11,7 +11,7 @@ from ..streaming import bars, ingest
 from . import bindings as b
 from . import research
 from .registry import query, r6
-from .search_queries import windows_count, windows_table
+from .search_queries import _sweep_sql, windows_count, windows_table
 
 _PRICE4 = f"""{b.PRICE_SQL}, cents AS (
   SELECT entity_id, effective_date, CAST(round(value, 0) AS BIGINT) AS cents FROM price)"""
@@ -46,37 +46,38 @@ def _write_vintages(spark, sf_dir) -> str:
     """What each vintage date knew of every period, plus rows dated after it."""
     path = scratch_path(spark, "vintages")
     cuts = F.explode(F.array(*[F.lit(v).cast("date") for v in _VINTAGES])).alias("vintage")
-    known = (b.facts(spark, sf_dir).where("field = 'line_1'").select("*", cuts)
+    known = (b.facts(spark, sf_dir).select("*", cuts)
              .where(F.col("knowledge_date") <= F.date_add("vintage", 20))
-             .groupBy("effective_date", "vintage").agg(F.max("value").alias("value")))
-    (known.select(F.date_format("vintage", "yyyyMMdd").alias("vintage"),
+             .groupBy("field", "effective_date", "vintage").agg(F.max("value").alias("value")))
+    (known.select("field", F.date_format("vintage", "yyyyMMdd").alias("vintage"),
                   F.col("effective_date").cast("string").alias("observation_date"),
                   F.col("value").cast("string").alias("series"))
-     .write.partitionBy("vintage").option("header", "true").csv(path))
+     .write.partitionBy("field", "vintage").option("header", "true").csv(path))
     return path
 
 
 def _vintage_facts(spark, sf_dir):
     return observations.vintage_facts(
-        spark, _write_vintages(spark, sf_dir), entity_pattern=r"(factmark-vintages)",
+        spark, _write_vintages(spark, sf_dir), entity_pattern=r"field=([^/]+)/",
         vintage_pattern=r"vintage=(\d{8})/")
 
 
 _VINTAGE_SQL = f"""{b.FACTS_SQL}, v(vintage) AS (
   VALUES {', '.join(f"(DATE '{v}')" for v in _VINTAGES)}),
-vint AS (SELECT effective_date, vintage AS knowledge_date, max(value) AS value FROM facts, v
-  WHERE field = 'line_1' AND knowledge_date <= vintage + 20 GROUP BY ALL),
+vint AS (SELECT field AS entity_id, effective_date, vintage AS knowledge_date, max(value) AS value FROM facts, v
+  WHERE knowledge_date <= vintage + 20 GROUP BY ALL),
 kept AS (SELECT * FROM vint WHERE effective_date <= knowledge_date),
-vfirst AS (SELECT effective_date, first(value ORDER BY knowledge_date) AS v0 FROM kept GROUP BY 1)"""
+vfirst AS (SELECT entity_id, effective_date, first(value ORDER BY knowledge_date) AS v0 FROM kept
+  GROUP BY 1, 2)"""
 
 
 @query(f"""WITH {_VINTAGE_SQL}
-SELECT effective_date, knowledge_date, value,
+SELECT entity_id, effective_date, knowledge_date, value,
        'ALFRED@' || CAST(knowledge_date AS VARCHAR) AS source FROM kept""")
 def vintage_csv_facts(spark, sf_dir):
     """Many vintages of a revised series in one job; rows after the vintage are dropped."""
-    return _vintage_facts(spark, sf_dir)[0].select("effective_date", "knowledge_date", "value",
-                                                   "source")
+    return _vintage_facts(spark, sf_dir)[0].select("entity_id", "effective_date", "knowledge_date",
+                                                   "value", "source")
 
 
 # --- filings -------------------------------------------------------------------------------
@@ -327,9 +328,9 @@ def universe_to_churn(spark, sf_dir):
 
 
 @query(f"""WITH {_VINTAGE_SQL}
-SELECT effective_date, v0 AS first_reported, last(value ORDER BY knowledge_date) AS latest,
+SELECT entity_id, effective_date, v0 AS first_reported, last(value ORDER BY knowledge_date) AS latest,
        count(*) FILTER (value <> v0) AS restatements
-FROM kept JOIN vfirst USING (effective_date) GROUP BY ALL""")
+FROM kept JOIN vfirst USING (entity_id, effective_date) GROUP BY ALL""")
 def vintage_load(spark, sf_dir):
     """Vintage files to first and restated values, through one versioned load."""
     facts, _ = _vintage_facts(spark, sf_dir)
@@ -337,20 +338,25 @@ def vintage_load(spark, sf_dir):
     versions.append_facts(spark, root, "orders", facts, _registered(spark))
     stored = versions.read_facts(spark, root, "orders")
     ends = bitemporal.latest_with_restatements(stored, acknowledge=True).select(
-        "effective_date", F.col("as_first_reported").alias("first_reported"),
+        "entity_id", "effective_date", F.col("as_first_reported").alias("first_reported"),
         F.col("value").alias("latest"))
-    revised = stored.groupBy("effective_date").agg(
+    revised = stored.groupBy("entity_id", "effective_date").agg(
         F.sum(F.col("is_restatement").cast("long")).alias("restatements"))
-    return ends.join(revised, "effective_date")
+    return ends.join(revised, ["entity_id", "effective_date"])
 
 
 _GATE = 6, 20
 
 
-@query(f"""WITH {b.PRICE_SQL}, kept AS (SELECT * FROM price WHERE effective_date <= DATE '2000-12-31')
-SELECT entity_id, count(*) - 1 AS sample_length, CAST({windows_count(*_GATE)} AS BIGINT) AS n_trials,
+@query(f"""WITH {b.PRICE_SQL}, kept AS (SELECT * FROM price WHERE effective_date <= DATE '2000-12-31'),
+rets AS (SELECT * FROM (SELECT entity_id, effective_date, value / lag(value) OVER (
+   PARTITION BY entity_id ORDER BY effective_date) - 1 AS ret FROM kept) WHERE ret IS NOT NULL),
+{_sweep_sql('rets', '', *_GATE)}
+SELECT entity_id, fast, slow, round(observed_sharpe, 6) AS best_sharpe,
+       round(var_trials, 9) AS var_trials, (SELECT count(*) FROM rets r WHERE r.entity_id = best.entity_id)
+         AS sample_length, CAST({windows_count(*_GATE)} AS BIGINT) AS n_trials,
        CAST({windows_count(*_GATE)} AS BIGINT) AS trials_with_outcome, 'prices@v1' AS dataset_version,
-       true AS reproduced, true AS holdout_refused FROM kept GROUP BY 1""")
+       true AS reproduced, true AS holdout_refused FROM best""")
 def gated_search(spark, sf_dir):
     """Load prices, refuse a read into the holdout, run a counted search, replay it."""
     from ..errors import HoldoutViolation
@@ -372,7 +378,9 @@ def gated_search(spark, sf_dir):
                                     scratch_path(spark, "replay"))
     from ..operators.ordering import one_row
     again = one_row(replay.select("reproduced"))
-    return found.select("entity_id", "sample_length", "n_trials", "trials_with_outcome",
+    return found.select("entity_id", "fast", "slow", r6("best_sharpe").alias("best_sharpe"),
+                        r6("var_trials", 9).alias("var_trials"), "sample_length", "n_trials",
+                        "trials_with_outcome",
                         "dataset_version", again.getField("reproduced").alias("reproduced"),
                         F.lit(refused).alias("holdout_refused"))
 

@@ -107,3 +107,18 @@ def test_bad_series_are_refused_whole_and_nothing_is_lost(spark):
         "back": ["label ends before it starts"], "mixed": ["t0 is not ascending"],
         "short": ["fewer rows than folds"]}
     assert good.count() + refused.count() == len(rows)
+
+
+def test_refused_series_are_returned_with_their_reasons(spark):
+    good = labels_of(spark, [(i, i + 1) for i in range(20)])
+    named = lambda ends, name: labels_of(spark, ends).withColumn("series_id", F.lit(name))
+    odd = named([(0, 1), (3, 2), (2, 4), (5, 6), (6, 7)], "odd").unionByName(
+        named([(0, 1)], "short")).unionByName(named([(0, 90), (1, 91), (2, 92), (3, 93)], "long"))
+    split, refused = folds.checked_folds(good.unionByName(odd), 2)
+    reasons = {r.series_id: r.reasons for r in refused.collect()}
+    assert set(reasons) == {"odd", "short", "long"}
+    assert len(reasons["odd"]) == 2 and reasons["long"] == ["nothing to train on in fold 0, 1"]
+    assert {r.series_id for r in split.select("series_id").distinct().collect()} == {"s"}
+    purged = folds.purged_folds(good, 2, roles=("purged",)).collect()
+    whole = folds.purged_folds(good, 2).where("role = 'purged'").collect()
+    assert sorted(purged) == sorted(whole) and purged
