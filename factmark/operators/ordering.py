@@ -3,17 +3,16 @@
 A window without partition columns, or over a group holding a third of the rows,
 sorts that group in a single task. ``with_position`` range-partitions on the sort
 key instead, so a large group is spread over as many tasks as its rows need, and
-adds per-(task, group) offsets afterwards.
+adds per-(task, group) offsets afterwards. Quantiles need no order at all: they are
+found by counting.
 """
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import Scratch, materialise
 
 
 def with_position(df: DataFrame, order: list[str], group: list[str] = (),
@@ -58,31 +57,112 @@ def with_position(df: DataFrame, order: list[str], group: list[str] = (),
     return out.join(offsets, ["_task", *group]).select(*columns)
 
 
-def exact_quantiles(df: DataFrame, value: str, probabilities: list[float],
-                    group: list[str] = ()) -> DataFrame:
+#: Cells of a histogram, and rows that one task may sort to finish a quantile.
+CELLS, SORTED = 2048, 20_000
+
+
+def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], group: list[str] = (),
+                    weight: str | None = None) -> DataFrame:
     """Linearly interpolated quantiles, exact at any size: (group, probability, quantile).
 
-    Values are counted first, so one value repeated across a third of the rows is one
-    row with a weight. Only the values around each requested rank survive the sort; no
-    task holds a group's values the way an exact percentile aggregate would.
+    Nothing is sorted but what is left at the end. The range that holds a quantile's two
+    ranks is cut into CELLS, counted in one aggregation, and narrowed to the smallest and
+    largest value of the cell they fall into; where they fall into two, they are the end of
+    one and the start of the next. After a round or two a range holds at most SORTED rows,
+    or a single value. ``weight`` counts a row as so many equal ones. Nulls and NaN are left
+    out; a group without values has no row.
     """
     group = list(group)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(
-        F.count(F.lit(1)).alias("_copies"))
-    placed = with_position(counts, [value], group, "_at", "_n", "_copies")
-    covers = lambda r: r.between(F.col("_at"), F.col("_at") + F.col("_copies") - 1)
-    at = lambda p: p * (F.col("_n") - 1)
-    touches = [covers(edge(at(F.lit(float(p))))) for p in probabilities for edge in (F.floor, F.ceil)]
-    near = placed.where(functools.reduce(Column.__or__, touches)).withColumn(
-        "p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])))
-    rank = at(F.col("p"))
-    low, high = covers(F.floor(rank)), covers(F.ceil(rank))
-    ends = near.where(low | high).groupBy(*group, F.col("p").alias("probability")).agg(
-        F.max(F.when(low, F.col(value))).alias("_low"),
-        F.max(F.when(high, F.col(value))).alias("_high"),
-        F.max(rank - F.floor(rank)).alias("_part"))
-    return ends.select(*group, "probability", (
-        F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")).alias("quantile"))
+    heavy = (F.col(weight) if weight else F.lit(1)).cast("long")
+    data = df.where(F.col(value).isNotNull()).select(
+        *group, F.col(value).cast("double").alias("_v"), heavy.alias("_w")).where("_w > 0 AND NOT isnan(_v)")
+    rank = F.col("probability") * (F.col("_size") - 1)
+    state = (data.groupBy(*group).agg(F.sum("_w").alias("_size"), F.min("_v").alias("_lo"),
+                                      F.max("_v").alias("_hi"))
+             .where("_size > 0")
+             .select("*", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("probability"))
+             .select(*group, "probability", F.floor(rank).alias("_k0"), F.ceil(rank).alias("_k1"),
+                     (rank - F.floor(rank)).alias("_part"), F.lit(0).cast("long").alias("_before"),
+                     F.col("_size").alias("_inside"), "_lo", "_hi",
+                     F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("_q0"),
+                     F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("_q1")))
+    key, known = [*group, "probability"], F.col("_q0").isNotNull()
+    with Scratch(df.sparkSession, "quantiles") as scratch:
+        state = scratch.table(state)
+        while not state.where(~known & (F.col("_inside") > SORTED)).isEmpty():
+            wide = state.where(~known & (F.col("_inside") > SORTED))
+            cells = _in_range(data, wide, group).groupBy(*key, _cell().alias("_cell")).agg(
+                F.sum("_w").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+            upto = W.partitionBy(*key).orderBy("_cell")  # at most CELLS rows
+            cells = cells.withColumn("_upto", F.sum("_n").over(upto)).join(
+                wide.select(*key, "_k0", "_k1", "_before"), key)
+            end = F.col("_before") + F.col("_upto")
+            holds = lambda k: (F.col(k) < end) & (F.col(k) >= end - F.col("_n"))
+            here = F.struct((end - F.col("_n")).alias("start"), "_n", "_least", "_most")
+            found = cells.groupBy(*key).agg(F.max(F.when(holds("_k0"), here)).alias("a"),
+                                            F.max(F.when(holds("_k1"), here)).alias("b"))
+            one = F.col("a.start") == F.col("b.start")
+            low = F.when(~one | (F.col("a._least") == F.col("a._most")), F.col("a._most"))
+            high = F.when(~one, F.col("b._least")).when(F.col("a._least") == F.col("a._most"), F.col("a._most"))
+            narrowed = wide.drop("_before", "_inside", "_lo", "_hi", "_q0", "_q1").join(found, key).select(
+                *key, "_k0", "_k1", "_part", F.col("a.start").alias("_before"), F.col("a._n").alias("_inside"),
+                F.col("a._least").alias("_lo"), F.col("a._most").alias("_hi"), low.alias("_q0"), high.alias("_q1"))
+            state = scratch.table(state.where(known | (F.col("_inside") <= SORTED)).unionByName(narrowed))
+        left = state.where(~known)
+        values = _in_range(data, left, group).groupBy(*key, "_v").agg(F.sum("_w").alias("_n"))
+        upto = W.partitionBy(*key).orderBy("_v")  # at most SORTED rows
+        placed = values.withColumn("_upto", F.sum("_n").over(upto)).join(
+            left.select(*key, "_k0", "_k1", "_before"), key)
+        end = F.col("_before") + F.col("_upto")
+        at = lambda k: F.max(F.when((F.col(k) < end) & (F.col(k) >= end - F.col("_n")),
+                                    F.col("_v")))
+        last = placed.groupBy(*key).agg(at("_k0").alias("_q0"), at("_k1").alias("_q1")).join(
+            left.select(*key, "_part"), key)
+        columns = [*key, "_q0", "_q1", "_part"]
+        ends = scratch.table(state.where(known).select(columns).unionByName(last.select(columns)), kept=True)
+    return ends.select(*key, (F.col("_q0") + (F.col("_q1") - F.col("_q0")) * F.col("_part"))
+                       .alias("quantile"))
+
+
+def _in_range(data: DataFrame, ranges: DataFrame, group: list[str]) -> DataFrame:
+    """Rows of the data with each range of their group that they lie in."""
+    inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
+    if group:
+        return data.join(ranges.select(*group, "probability", "_lo", "_hi"), group).where(inside)
+    listed = ranges.select("probability", "_lo", "_hi").collect()  # a row per probability asked for
+    if not listed:
+        return data.select("*", *[F.lit(None).cast("double").alias(c)
+                                  for c in ("probability", "_lo", "_hi")]).where("false")
+    all_ = F.explode(F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in ("probability", "_lo", "_hi")])
+                               for r in listed])).alias("_r")
+    return data.select("*", all_).select(*data.columns, "_r.*").where(inside)
+
+
+def _cell() -> Column:
+    """Which of CELLS equal parts of its range a value lies in; of the range's logarithm
+    where that is the evener division."""
+    v, low, high = F.col("_v"), F.col("_lo"), F.col("_hi")
+    endless = float("inf")
+    part = (F.when((low == -endless) | (high == endless), F.when(v == -endless, 0.0)
+                   .when(v == endless, 1.0).otherwise(0.5))
+            .when((low > 0) & (high / 1000 > low), (F.ln(v) - F.ln(low)) / (F.ln(high) - F.ln(low)))
+            .when((high < 0) & (low / 1000 < high), (F.ln(-low) - F.ln(-v)) / (F.ln(-low) - F.ln(-high)))
+            .otherwise((v / 2 - low / 2) / (high / 2 - low / 2)))
+    return F.least(F.greatest(F.floor(part * CELLS), F.lit(0)), F.lit(CELLS - 1))
+
+
+def approximate_quantiles(df: DataFrame, value: str, probabilities: list[float],
+                          group: list[str] = (), accuracy: int = 10_000) -> DataFrame:
+    """Quantiles from a sketch that merges map-side, in one pass: a value whose rank is off
+    by at most 1 / ``accuracy`` of the rows."""
+    probabilities = [float(p) for p in probabilities]
+    sketch = F.percentile_approx(value, probabilities, accuracy)
+    pairs = F.arrays_zip(F.array(*[F.lit(p) for p in probabilities]).alias("probability"),
+                         F.col("_q").alias("quantile"))
+    return (df.groupBy(*group).agg(sketch.alias("_q")).where("_q IS NOT NULL")
+            .select(*group, F.explode(pairs).alias("p"))
+            .select(*group, F.col("p.probability").alias("probability"),
+                    F.col("p.quantile").cast("double").alias("quantile")))
 
 
 def one_row(df: DataFrame) -> Column:

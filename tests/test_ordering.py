@@ -53,6 +53,39 @@ def test_quantiles_match_numpy(skewed, group):
             assert got[name, p] == pytest.approx(np.percentile(values, 100 * p), abs=1e-12)
 
 
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_quantiles_are_narrowed_in_rounds(spark, monkeypatch, group):
+    monkeypatch.setattr(ordering, "SORTED", 3)
+    monkeypatch.setattr(ordering, "CELLS", 16)
+    rng = random.Random(3)
+    spread = [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-200, 200) for _ in range(120)]
+    close = [1.0 + i * 2.0**-50 for i in range(60)] + [5.0] * 60
+    rows = [("spread", v, rng.randrange(4)) for v in spread] + [("close", v, 1) for v in close]
+    df = spark.createDataFrame([*rows, ("none", None, 1), ("nan", float("nan"), 2)], "g string, v double, w int")
+    probs = [0.0, 0.13, 0.5, 0.77, 1.0]
+    got = {(r["g"] if group else None, r.probability): r.quantile
+           for r in ordering.exact_quantiles(df, "v", probs, group, "w").collect()}
+    names = {"spread", "close"} if group else {None}
+    assert {n for n, _ in got} == names
+    for name in names:
+        values = [v for g, v, w in rows if name in (None, g) for _ in range(w)]
+        for p in probs:
+            low, high = np.percentile(values, 100 * p, method="lower"), np.percentile(values, 100 * p, method="higher")
+            at = p * (len(values) - 1)
+            assert got[name, p] == pytest.approx(low + (high - low) * (at - int(at)), rel=1e-12)
+
+
+def test_sketched_quantiles_keep_their_rank(skewed):
+    df, rows = skewed
+    for g, names in (([], {None}), (["g"], {g for g, _, _ in rows})):
+        for r in ordering.approximate_quantiles(df, "v", [0.1, 0.9], g, 500).collect():
+            values = sorted(v for n, _, v in rows if not g or n == r["g"])
+            low, high = np.searchsorted(values, [r.quantile] * 2, "left"), np.searchsorted(values, r.quantile, "right")
+            slack = len(values) / 500 + 1
+            assert low[0] - slack <= r.probability * len(values) <= high + slack
+        assert names
+
+
 def test_quantile_of_one_value(spark):
     df = spark.createDataFrame([(4.0,)], "v double")
     assert {r.quantile for r in ordering.exact_quantiles(df, "v", [0.05, 0.5]).collect()} == {4.0}
