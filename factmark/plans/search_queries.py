@@ -1,10 +1,13 @@
 """Sweeps, deflation, folds, leak checks and ledgers on the driver's tables."""
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.normal import norm_cdf, norm_ppf
-from ..operators import folds, ledger, sweep, validation
+from ..operators import folds, ledger, sweep, table_functions, validation
 from ..session import scratch_path
 from . import bindings as b
 from . import research
@@ -315,6 +318,21 @@ def parameter_sweep(spark, sf_dir):
         "entity_id", "fast", "slow", r6("sharpe").alias("sharpe"))
 
 
+@query(f"""WITH {_REAL_SQL}
+SELECT entity_id, fast, slow, round(sharpe, 6) AS sharpe FROM trial""")
+def sweep_from_sql(spark, sf_dir):
+    """The same sweep asked for in SQL, as a table function over each series' partition."""
+    table_functions.register(spark)
+    grid = windows_table(spark, FAST, SLOW)
+    params = json.dumps(sweep.parameter_list(grid))
+    view = f"returns_{uuid.uuid4().hex}"
+    _returns(spark, sf_dir).select("entity_id", "effective_date", "ret").createTempView(view)
+    trials = spark.sql(f"""SELECT * FROM sweep(TABLE({view}) PARTITION BY entity_id
+        ORDER BY (effective_date), '{params}', 'excess')""")
+    spark.catalog.dropTempView(view)  # the plan holds what it named
+    return trials.join(grid, "trial_ord").select("entity_id", "fast", "slow", r6("sharpe").alias("sharpe"))
+
+
 @query(f"""WITH {_REAL_SQL}
 SELECT entity_id, n_trials AS evaluated, round(observed_sharpe, 6) AS best_sharpe,
        fast, slow FROM best""")
