@@ -78,8 +78,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rows: in
                  F.first("bands").alias("bands")), kept=True)
         size = _Size(nodes.count(), bands)
         members = _members(nodes, scratch, size)
-        near = scratch.table(texts.join(members.select(F.col("node").alias("doc_id")).distinct(),
-                                        "doc_id", "left_semi")
+        wanted = members.select(F.col("node").alias("doc_id")).distinct()
+        near = scratch.table(texts.join(wanted.hint("merge"), "doc_id", "left_semi")
                              .select(F.col("doc_id").alias("node"), "text"), size.texts)
 
         def compared(pairs: DataFrame, by, schema: str) -> DataFrame:
@@ -162,9 +162,11 @@ def _settled(seen: DataFrame, links: DataFrame, tested: DataFrame, compared, con
 
     # Two that are not both linked to their hub, by what they share with it or beside it.
     direct = _enough_of_hub(beside, percent)
-    small = beside.select(F.explode("extra").alias("shingle"), "a", F.col("b").alias("node"),
+    # ``left``: its shingles beside the hub from this one on, in hash order.
+    small = beside.select(F.posexplode("extra").alias("at", "shingle"), "a", F.col("b").alias("node"),
                           F.col("n_b").alias("n"), "common").select(
-        F.xxhash64("a", "shingle").alias("bucket"), "node", "n", "common")
+        F.xxhash64("a", "shingle").alias("bucket"), "node", "n", "common",
+        (F.col("n") - F.col("common") - F.col("at")).alias("left"))
     allowed = HUBS
     while True:
         live = _unsettled(small, component, scratch, size)
@@ -190,7 +192,7 @@ def _settled(seen: DataFrame, links: DataFrame, tested: DataFrame, compared, con
         if most <= allowed:
             return component
         tested, direct = tested.union(fresh), None
-        small = live.where(F.col("minor") > allowed).select("bucket", "node", "n", "common")
+        small = live.where(F.col("minor") > allowed).select("bucket", "node", "n", "common", "left")
         allowed *= 4
 
 
@@ -200,10 +202,10 @@ def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
 
 
 def _room_for_link(percent: int) -> Column:
-    """Whether members ``h`` and ``m`` of a hub can be linked at all: in common they have at
-    most what each has in common with the hub, and what each has beside it."""
-    most = F.least("h.common", "m.common") + F.least(
-        F.col("h.n") - F.col("h.common"), F.col("m.n") - F.col("m.common"))
+    """Whether members ``h`` and ``m`` of a hub can be linked with this shingle as the first
+    in hash order that they share beside it: in common they have at most what each has in
+    common with the hub, and what each has left beside it."""
+    most = F.least("h.common", "m.common") + F.least("h.left", "m.left")
     return (100 + percent) * most >= percent * (F.col("h.n") + F.col("m.n"))
 
 
@@ -214,8 +216,11 @@ def _pairs(rows: DataFrame, p: str, n_p: str, q: str, n_q: str, percent: int) ->
 
 
 def _texts(pairs: DataFrame, near: DataFrame, parts: int) -> DataFrame:
-    return (pairs.join(near.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-            .coalesce(parts).join(near.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    """Pairs with both texts. Texts are always met in their own order, so that a table of
+    pairs small enough to be broadcast changes neither plan nor growth."""
+    one, other = (near.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+                  .hint("merge") for c in ("b", "a"))
+    return (pairs.join(one, "b").coalesce(parts).join(other, "a")
             .select("a", "b", "text_a", "text_b"))
 
 
