@@ -77,21 +77,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
     gets more than ``most`` times its words, the excess going to the others by weight.
     Returns per row ``doc_id``, ``size``, ``source_size``, ``target`` (its source's),
     ``taken`` (words taken, repeats counted, at most ``most * size``), the columns
-    ``carry``, and the place of the row's words in its shard: ``first_word``, ``rounds``
+    ``carry`` (without those named like a result), and the place of the row's words in its shard: ``first_word``, ``rounds``
     (times the whole shard is taken), ``extra``, ``blocks``, ``start``, from which
     ``chosen`` tells whether a block is taken once more.
 
     Rows without words take nothing; a source without words has the target 0. Null ids
-    and repeated rows are rows like any other. The same rows give the same result however
-    they are partitioned. An empty table gives an empty result.
+    and repeated rows are rows like any other; of a row that repeats more than HOT times the
+    copies are dealt out by number. The same rows give the same result however they are
+    partitioned. An empty table gives an empty result.
 
     How: a source's documents are dealt into shards by a seeded hash, laid end to end in
     a seeded order inside each shard, and cut into blocks of BLOCK words. Sainte-Lague
     gives each source its blocks and each of its shards an integer quota. A shard's quota
     is so many whole rounds, and for the rest one run of blocks from a seeded start, which
     wraps round: documents are taken whole or not at all, but for those at its two ends.
-    Only sums by source and by shard reach the driver (a row per LAID_OUT documents). A
-    source with a third of all rows has as many shards as it needs; a document's words
+    Only sums by source and by shard reach the driver: a row per source, whose number is
+    taken to be small, and per LAID_OUT documents, so it grows with the table by one row in
+    8,000. A source with a third of all rows has as many shards as it needs; a document's words
     are never exploded, its share follows from where its first and last word lie.
     """
     spark = docs.sparkSession

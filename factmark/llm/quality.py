@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from . import labels as L
 from . import text as T
 
+#: Text measured at a time: its words and their hashes take many times its room.
+SLICE_BYTES = 1_000_000
 #: Most labelled rows that a model is fitted on.
 SAMPLE = 20_000
 BINS, PAIR_BINS, PAIRS = 48, 12, 12
@@ -218,7 +220,7 @@ def _quadrants(g: np.ndarray, h: np.ndarray) -> tuple[float, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Additive:
     """Fit on at most about ``size`` labelled rows, whose features come to the driver."""
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in T.slices(batches):
+        for part in T.slices(batches, limit=SLICE_BYTES):
             x = features(T.one(part["text"]))
             yield pa.RecordBatch.from_arrays(
                 [T.one(part["label"]), pa.FixedSizeListArray.from_arrays(
@@ -240,7 +242,8 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     ``labels`` has ``doc_id`` and ``quality`` (0 or 1); rows with other values, without an
     id, or held out (see ``labels.held_out``) teach nothing. Returns per row ``doc_id``,
     ``held_out``, ``score`` (0 to 1, higher: label 1 likelier), ``predicted`` (1 from
-    ``threshold`` on) and the columns ``carry``. Null and empty texts are scored by their
+    ``threshold`` on) and the columns ``carry``, of which ``doc_id`` and ``score`` are left
+    out and ``held_out`` and ``predicted`` give way to the results of that name. Null and empty texts are scored by their
     features, all zero; equal texts have equal scores; repeated rows and null ids are
     scored like any other. Without labels of both kinds all rows get the share of label 1.
     An empty table gives an empty result.
@@ -254,7 +257,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     carry = [c for c in carry if c not in ("doc_id", "score")]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in T.slices(batches):
+        for part in T.slices(batches, limit=SLICE_BYTES):
             score = model.score(features(T.one(part["text"]))) if model.tables else \
                 np.full(part.num_rows, 1 / (1 + np.exp(-model.intercept)))
             table = part.select(["doc_id", *carry]).append_column("score", pa.array(score))

@@ -314,14 +314,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     ``held_out``, ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 from
     ``threshold`` on). Null and empty texts are scored as texts without any term; equal
     texts have equal scores; repeated rows and null ids are scored like any other; other
-    columns are ignored. Where no term tells toxic documents (no labels, one kind only) all
-    scores are 0. An empty table gives an empty result.
+    columns are ignored. Where no term tells toxic documents (no labels, one kind only, or
+    none in SEEN of the sample's toxic documents) all scores are 0. An empty table gives an
+    empty result. Limits of the lexicon, whatever the labels: a term is in at least SEEN
+    (4.5) toxic documents of the sample, near copies counting as one; the strongest TERMS
+    (64) of the first 20 * TERMS by toxic less clean documents are kept.
 
     How: words and word beginnings that toxic documents of a labelled sample hold, and
     clean ones hardly ever, become lexicon voters, beside voters for patterns and for the
-    absence of terms. From the votes alone a generative model estimates how often each
-    voter speaks in each class, and which voters go together, and gives each sampled text
-    a posterior label. A linear classifier learns these posteriors and scores all texts
+    absence of terms. A generative model estimates from the votes how often each voter
+    speaks in each class, starting from what the labelled sample showed of each term and
+    held to it by BELIEF (50) votes' worth, and which voters go together, and gives each
+    sampled text a posterior label. A linear classifier learns these posteriors and scores all texts
     in Arrow tasks. The sample's size is bounded; counting and scoring are distributed.
     """
     model = train(docs, labels, size)
