@@ -14,7 +14,9 @@ ORACLE_SQL = None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject. Null and empty texts, null ids
+    and repeated rows are judged like any other row, equal texts alike; columns beyond those
+    of documents go; an empty table stays empty."""
     ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.quality(docs, labels, carry=COLUMNS[1:]).where("predicted = 1").select(*COLUMNS)
@@ -61,13 +63,17 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, so rows may repeat and share an id; those
+    without words, a null text among them, are taken never. Rows that repeat in the input
+    are rows of their own, null sources are a source, the last one; an empty table stays
+    empty. Of two documents of one id, which lies first follows from a hash of both."""
     ship_package(spark)
     return mixing.mixed_copies(docs).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents in sequences of 2048 ids."""
+    """Pieces of the mixed documents in sequences of 2048 ids: a row per piece, not per
+    document. Copies of a document are packed each; a null or empty text is its end id."""
     ship_package(spark)
     return packing.pack(docs, tokenizer_path(), window=2048)
 
