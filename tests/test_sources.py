@@ -147,6 +147,17 @@ def test_archive_manifest_on_files(spark, folder):
         "a.json": "same", "b.json": "changed", "c.json": "new", "gone": "missing"}
 
 
+def test_documents_of_one_name_are_each_verified_once(spark, monkeypatch):
+    monkeypatch.setattr(archive, "STEP", 2)
+    sides = [spark.createDataFrame(rows, "name string, sha256 string") for rows in (
+        [("a", "1"), ("a", "2"), ("a", "2"), ("b", "1"), (None, "1"), ("c", None), ("d", "1")] + [("e", "1")] * 5,
+        [("a", "2"), ("a", "3"), ("a", "2"), ("b", "2"), (None, "1"), ("c", None), ("d", "1"), ("d", "1")]
+        + [("e", "1")] * 3)]
+    assert sorted(((r.name or "", r.state) for r in archive.verify(*sides).collect())) == sorted(
+        [("", "same"), ("a", "same"), ("a", "same"), ("a", "changed"), ("b", "changed"), ("c", "same"),
+         ("d", "same"), ("d", "missing")] + [("e", "same")] * 3 + [("e", "new")] * 2)
+
+
 @pytest.fixture()
 def store(spark, tmp_path, facts_of):
     catalog = spark.createDataFrame([("d", None, True, None)], DATASETS)
