@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import LookAheadFactor, ResearchError
 from ..functions.scalars import TRADING_DAYS, finite, size_factor
+from ..session import materialise
 
 Factor = Callable[[DataFrame], DataFrame]
 
@@ -117,8 +118,11 @@ def causality_check(factor: Factor, panel: DataFrame, split, seed: int = 0) -> D
     """Per entity: factor values up to ``split`` compared before and after later data changed.
 
     Later prices are scaled by a factor in [1.5, 2.5). ``vacuous`` marks an entity
-    whose whole head is NULL: nothing was compared, so it may not count as a pass.
+    whose whole head is NULL: nothing was compared, so it may not count as a pass. The panel
+    is written first: computed twice, an average merged in another order differs in its last
+    digits, and every value that reads it would seem to have moved.
     """
+    panel = materialise(panel, "panel")
     cut = F.lit(str(split)).cast("date")
     late = F.col("effective_date") > cut
     shaken = panel.withColumn("value", F.when(late, F.col("value") * (

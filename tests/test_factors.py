@@ -90,6 +90,19 @@ def test_causality(panel_of):
             factors.assert_causal(leaky, panel, outside)
 
 
+def test_causality_compares_one_and_the_same_panel(panel_of):
+    """A panel that another computation gives other last digits moves nothing."""
+    def unsteady(batches):
+        import random
+        for batch in batches:
+            yield batch.assign(value=[v + random.random() / 1e9 for v in batch["value"]])
+
+    panel = panel_of(a=[100 + i for i in range(40)])
+    panel = panel.mapInPandas(unsteady, panel.schema)
+    row = factors.causality_check(lambda p: factors.momentum(p, 5, 1), panel, "2000-01-20").first()
+    assert (row.head_rows, row.compared, row.moved) == (20, 15, 0)
+
+
 def test_registry_states_directions(spark):
     rows = {r.name: r.direction for r in factors.registry(spark).collect()}
     assert rows["momentum"] == "positive" and rows["size"] == "negative" and len(rows) == 5
