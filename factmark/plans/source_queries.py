@@ -319,7 +319,9 @@ def universe_to_churn(spark, sf_dir):
     root = scratch_path(spark, "universe")
     versions.append_facts(spark, root, "orders", facts, _registered(spark))
     stored = versions.read_facts(spark, root, "orders")
-    candidates = documents.select("entity_id").distinct()
+    # A company whose orders have no lines files nothing, but is considered.
+    candidates = b.table(spark, sf_dir, "orders").select(
+        filings.entity_id(F.col("o_custkey")).alias("entity_id")).distinct()
     report = universe.build_report(candidates, stored).select("considered", "loaded", "facts")
     churn = universe.rank_churn(stored, "book_equity", "1999-06-30", 100).select(
         "companies", "restated", r6("spearman").alias("spearman"), "changed_bucket")

@@ -323,3 +323,22 @@ def test_a_load_with_a_fact_that_cannot_be_stored_is_refused(spark, tmp_path):
         with pytest.raises(PointInTimeError):
             versions.append_facts(spark, str(tmp_path / "s"), "d", facts, catalog)
     assert versions.versions(spark, str(tmp_path / "s")).count() == 0
+
+
+def test_companies_without_a_line_are_considered(spark, tmp_path):
+    """Against its SQL on orders of which some, and all of some companies, have no lines."""
+    import __spark_entry__ as driver
+    from parity import compare, duck
+    sf = "/root/testdata/sf0.01"
+    for name in ("orders", "lineitem"):
+        rows = spark.read.parquet(f"{sf}/{name}.parquet")
+        if name == "lineitem":
+            lost = spark.read.parquet(f"{sf}/orders.parquet").where("o_custkey % 10 = 3")
+            rows = rows.join(lost, rows.l_orderkey == lost.o_orderkey, "left_anti")
+        rows.write.parquet(str(tmp_path / f"{name}.parquet"))
+    con = duck(sf)
+    for name in ("orders", "lineitem"):
+        con.execute(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    df = driver.queries()["universe_to_churn"](spark, str(tmp_path))
+    cursor = con.execute(driver.oracle_sql()["universe_to_churn"])
+    assert compare(df.collect(), df.columns, cursor.fetchall(), [d[0] for d in cursor.description]) == []
