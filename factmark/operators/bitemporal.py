@@ -209,12 +209,17 @@ def wide_panel(observations: DataFrame, entities: Sequence[str],
             .agg(F.first("value")))
     if not complete_cases:
         return wide
-    whole = wide.na.drop("any", subset=list(entities))
+    whole = whole_dates(wide, entities)
     if whole.isEmpty():
         raise ResearchError("these entities share no date")
     return whole
 
 
+def whole_dates(wide: DataFrame, entities: Sequence[str]) -> DataFrame:
+    """The dates of a wide panel at which no entity is absent; there may be none."""
+    return wide.na.drop("any", subset=list(entities))
+
+
 def complete_dates(observations: DataFrame) -> DataFrame:
     """Long-form complete cases: dates on which every entity was observed."""
     universe = one_row(observations.agg(F.count_distinct("entity_id").alias("entities")))

@@ -81,11 +81,6 @@ PRICE_SQL = """
 price AS (
   SELECT o_orderpriority AS entity_id, CAST(o_orderdate AS DATE) AS effective_date,
          avg(o_totalprice) AS value FROM orders GROUP BY 1, 2)"""
-MONTHLY_PRICE_SQL = """
-price AS (
-  SELECT o_orderpriority AS entity_id,
-         CAST(date_trunc('month', o_orderdate) AS DATE) AS effective_date,
-         avg(o_totalprice) AS value FROM orders GROUP BY 1, 2)"""
 SUPPLIER_PRICE_SQL = """
 price AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS entity_id, CAST(l_shipdate AS DATE) AS effective_date,
@@ -103,14 +98,6 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_date("o_orderdate").alias("effective_date")).agg(F.avg("o_totalprice").alias("value"))
 
 
-def monthly_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average price by priority and month: series that share dates at every table size."""
-    return table(spark, sf_dir, "orders").groupBy(
-        F.col("o_orderpriority").alias("entity_id"),
-        F.trunc("o_orderdate", "month").alias("effective_date")).agg(
-        F.avg("o_totalprice").alias("value"))
-
-
 def supplier_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(
         F.col("l_suppkey").cast("string").alias("entity_id"),

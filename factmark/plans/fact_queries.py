@@ -146,10 +146,10 @@ def cross_section_panel(spark, sf_dir):
     return wide.select("effective_date", *[r6(f"`{p}`", 4).alias(p) for p in PRIORITIES])
 
 
-@query(_WIDE_SQL.replace(b.PRICE_SQL, b.MONTHLY_PRICE_SQL) + " WHERE " + " AND ".join(f"\"{p}\" IS NOT NULL" for p in PRIORITIES))
+@query(_WIDE_SQL + " WHERE " + " AND ".join(f"\"{p}\" IS NOT NULL" for p in PRIORITIES))
 def complete_case_panel(spark, sf_dir):
-    wide = bitemporal.wide_panel(b.monthly_prices(spark, sf_dir), PRIORITIES,
-                                 complete_cases=True)
+    """Days on which every priority was ordered; none, where the tables are that small."""
+    wide = bitemporal.whole_dates(bitemporal.wide_panel(b.prices(spark, sf_dir), PRIORITIES), PRIORITIES)
     return wide.select("effective_date", *[r6(f"`{p}`", 4).alias(p) for p in PRIORITIES])
 
 
