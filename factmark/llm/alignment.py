@@ -5,6 +5,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,12 @@ from .tokenfile import binary, numbers
 
 #: A single space between a character and a visible one: neither tokenizer's tokens cross it.
 CUT = re.compile(r"(?<=[^ ]) (?=[!-~\w])")
+#: What a chunk begins with that may follow a cut.
+VISIBLE = re.compile(r"[!-~\w]")
 #: Characters of chunks a worker remembers.
 KEPT = 3_000_000
+#: Chunks that A encodes as one text.
+JOINED = 128
 
 _FOUND = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links binary"
 
@@ -42,7 +47,8 @@ def align(docs: DataFrame, byte_bpe: str, pieces: str, with_groups: bool = False
     zeros and an empty digest. Null ids and repeated rows are rows like any other; other
     columns are ignored; an empty table gives no rows.
 
-    How: both sequences of token ends are followed from the left. At the present shift
+    How: texts are cut where neither tokenizer's tokens cross, so every cut is a joint end, and
+    a distinct chunk's ends are compared once: followed on both sides from the left. At the present shift
     between their positions ever longer stretches are compared; where one differs, halving
     finds how far the two still run together, and the irregular group there is resolved
     end by end, which sets the next shift. Of two tokens that end at one byte, one's bytes
@@ -201,8 +207,9 @@ def _linkable(byte_bpe: str, pieces: str) -> tuple[np.ndarray, int]:
 
 
 class PairCoder:
-    """Both tokenizers' ids and token ends of texts. Texts are cut where neither's tokens
-    cross; each distinct chunk is encoded once and remembered."""
+    """Both tokenizers' tokens of texts, aligned. Texts are cut where neither's tokens cross,
+    so that tokens of both end there; each distinct chunk is encoded and aligned once and
+    remembered, and a text's groups are those of its chunks, one after another."""
 
     def __init__(self, byte_bpe: str, pieces: str):
         self.a, self.b = _load(byte_bpe, pieces)
@@ -212,79 +219,119 @@ class PairCoder:
         # No piece may hold a space after another character, else tokens could cross a cut.
         self.cuts = all(b" " not in t.lstrip(b" ") for t in self.bytes[1])
         self.digits = [_decimal(len(side)) for side in self.bytes]
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.chars = 0
-        self.ids = [_Runs(), _Runs()]
-        self.sound = _Runs(np.bool_)
+        self.said: list[bytes] = []  # the groups as text, per chunk
+        self.links = _Runs(np.uint32)
+        self.counts = _Runs()  # per chunk: tokens of A, of B, groups; 0, or -1 if bytes were lost
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the chunks met most, of those met again, up to two thirds of KEPT."""
+        chunks = list(self.known)
+        weights = np.fromiter(map(len, chunks), np.int64, len(chunks)) + 8
+        order = np.argsort(-self.uses, kind="stable")
+        order = order[(np.cumsum(weights[order]) <= KEPT * 2 // 3) & (self.uses[order] > 1)]
+        links, sizes = self.links.take(order)
+        counts, fours = self.counts.take(order)
+        self.known = {chunks[at]: k for k, at in enumerate(order.tolist())}
+        self.said = [self.said[at] for at in order.tolist()]
+        self.links, self.counts = _Runs(np.uint32), _Runs()
+        self.links.add(links, sizes)
+        self.counts.add(counts, fours)
+        self.uses = self.uses[order] // 2
+        self.chars = int(weights[order].sum())
+
+    def _a_ids(self, new: list[str], raw_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A's ids of all chunks and how many are whose. Chunks that may follow one another
+        at a cut are encoded as one text, whose tokens then end where a chunk does."""
+        spaced = [" " + c for c in new]
+        if self.cuts:
+            first = [k for k, c in enumerate(new)
+                     if k % JOINED == 0 or not VISIBLE.match(c) or new[k - 1].endswith(" ")]
+            texts = ["".join(spaced[s:e]) for s, e in pairwise([*first, len(new)])]
+            flat, _ = _flat([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)])
+            sizes = self.lengths[0][flat]
+            ends = np.cumsum(sizes)
+            at = np.searchsorted(ends, raw_ends)
+            if sizes.all() and len(ends) and ends[-1] == raw_ends[-1] and (ends[at] == raw_ends).all():
+                return flat, np.diff(at + 1, prepend=0)
+        return _flat([e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)])
 
     def _codes(self, chunks: list[str]) -> np.ndarray:
-        get = self.known.get
-        codes = [get(c) for c in chunks]
+        codes = list(map(self.known.get, chunks))
         if None in codes:
-            self._learn(list(dict.fromkeys(c for c, k in zip(chunks, codes, strict=True) if k is None)))
-            codes = [get(c) for c in chunks]
+            new = [at for at, k in enumerate(codes) if k is None]
+            self._learn(list(dict.fromkeys([chunks[at] for at in new])))
+            for at in new:
+                codes[at] = self.known[chunks[at]]
         return np.array(codes, np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        spaced = [" " + c for c in new]
-        found = ([e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)],
-                 self.b.encode(new, num_threads=1))
-        raw = [s.encode() for s in spaced]
+        raw = [b" " + c.encode() for c in new]
+        raw_ends, whole = np.cumsum([len(r) for r in raw]), b"".join(raw)
+        ids, ends, of = [], [], []
         sound = np.ones(len(new), bool)
         for side in (0, 1):
-            own = self.bytes[side]
-            sizes = np.array([len(f) for f in found[side]], np.int64)
-            flat = np.array([i for f in found[side] for i in f], np.int64)
-            self.ids[side].add(flat, sizes)
-            joined = [b"".join([own[i] for i in f]) for f in found[side]]
-            sound &= np.fromiter(map(bytes.__eq__, joined, raw), bool, len(raw))
-        self.sound.add(sound, np.ones(len(new), np.int64))
-        for c in new:
-            self.known[c] = len(self.known)
-            self.chars += len(c) + 8
+            flat, sizes = (_flat(self.b.encode(new, num_threads=1)) if side
+                           else self._a_ids(new, raw_ends))
+            of.append(np.repeat(np.arange(len(new)), sizes))
+            ids.append(flat)
+            joined = b"".join(map(self.bytes[side].__getitem__, flat.tolist()))
+            own_ends = np.concatenate([[0], np.cumsum(self.lengths[side][flat])])[np.cumsum(sizes)]
+            if joined != whole or not np.array_equal(own_ends, raw_ends):
+                own = own_ends.tolist()
+                sound &= np.array([joined[s:e] == r for s, e, r in zip([0, *own[:-1]], own, raw, strict=True)])
+        for side in (0, 1):
+            if not sound.all():
+                kept = sound[of[side]]
+                ids[side], of[side] = ids[side][kept], of[side][kept]
+            ends.append(np.cumsum(self.lengths[side][ids[side]]))
+        i, j = joint_ends(ends[0].tolist(), ends[1].tolist())
+        links = np.searchsorted(self.keys, ids[0][i] * self.n_b + ids[1][j]).astype(np.uint32)
+        n = [np.bincount(x, minlength=len(new)) for x in (*of, of[0][i])]
+        self.links.add(links, n[2])
+        n.append(sound - 1)
+        self.counts.add(np.stack(n, 1).ravel(), np.full(len(new), 4))
+        text, sizes = self._written(ids, (i, j))
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(n[0] + n[1])])].tolist()
+        text = text.tobytes()
+        self.said += [text[s:e - 1] if e > s else b"" for s, e in pairwise(upto)]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.chars += sum(map(len, new)) + 8 * len(new)
 
     def aligned(self, doc_ids: pa.Array, texts: pa.Array, with_groups: bool) -> pa.RecordBatch:
         if self.chars > KEPT:
             self._forget()
         texts = pc.fill_null(texts.cast(pa.string()), "").to_pylist()
         parts = [CUT.split(t) if t and self.cuts else [t] if t else [] for t in texts]
-        counts = np.array([len(p) for p in parts], np.int64)
-        codes = self._codes([c for p in parts for c in p])
-        owner = np.repeat(np.arange(len(texts)), counts)
-        sound = self.sound.flat[codes]
+        owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, parts), np.int64, len(parts)))
+        codes = self._codes(list(chain.from_iterable(parts)))
+        sound = self.counts.flat.reshape(-1, 4)[codes, 3] == 0
         if not sound.all():  # judged as a whole; if the bytes still differ, no tokens
             odd = np.unique(owner[~sound])
             whole = self._codes([texts[i] for i in odd])
             keep = ~np.isin(owner, odd)
-            fine = self.sound.flat[whole]
+            fine = self.counts.flat.reshape(-1, 4)[whole, 3] == 0
             owner = np.concatenate([owner[keep], odd[fine]])
             order = np.argsort(owner, kind="stable")
             owner, codes = owner[order], np.concatenate([codes[keep], whole[fine]])[order]
-        n = [np.zeros(len(texts), np.int64) for _ in range(2)]
-        ids, ends, of = [], [], []
-        for side in (0, 1):
-            flat, sizes = self.ids[side].take(codes)
-            of.append(np.repeat(owner, sizes))
-            n[side] = np.bincount(of[side], minlength=len(texts))
-            ids.append(flat)
-            ends.append(np.cumsum(self.lengths[side][flat]))
-        i, j = joint_ends(ends[0].tolist(), ends[1].tolist())
-        keys = ids[0][i] * self.n_b + ids[1][j]
-        links = np.searchsorted(self.keys, keys).astype(np.uint32)
-        groups = np.bincount(of[0][i], minlength=len(texts))
-        said = self._written(ids, (i, j))
-        upto = np.concatenate([[0], np.cumsum(said[1])])[np.concatenate([[0], np.cumsum(n[0] + n[1])])]
-        view = memoryview(said[0])
-        shown = [view[s:e - 1] if e > s else None for s, e in zip(upto[:-1], upto[1:], strict=True)]
-        columns = [doc_ids, pa.array(n[0]), pa.array(n[1]), pa.array(groups),
-                   pa.array([hashlib.sha256(s).hexdigest() if s is not None else "" for s in shown]),
-                   binary(links, np.concatenate([[0], np.cumsum(groups)]))]
+        used = np.bincount(codes, minlength=len(self.known))
+        used[:len(self.uses)] += self.uses
+        self.uses = used
+        upto = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
+        per_chunk = self.counts.flat.reshape(-1, 4)[codes, :3]
+        totals = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(per_chunk, 0)])[upto]
+        n_a, n_b, groups = np.diff(totals, axis=0).T
+        links, _ = self.links.take(codes)
+        spoken = list(map(self.said.__getitem__, codes.tolist()))
+        shown = [b";".join(spoken[s:e]) for s, e in pairwise(upto.tolist())]
+        columns = [doc_ids, pa.array(n_a), pa.array(n_b), pa.array(groups),
+                   pa.array([hashlib.sha256(s).hexdigest() if s else "" for s in shown]),
+                   binary(links, totals[:, 2])]
         names = [f.split()[0] for f in _FOUND.split(", ")]
         if with_groups:
-            columns.append(pa.array([bytes(s).decode() if s is not None else "" for s in shown]))
+            columns.append(pa.array([s.decode() for s in shown]))
             names.append("groups")
         return pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -311,6 +358,12 @@ class PairCoder:
         return np.ascontiguousarray(text[shown]), size + 1
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists one after another, and their lengths."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+
 class _Runs:
     """A growing array of runs of different lengths."""
 

@@ -81,6 +81,19 @@ def test_forgetting_chunks_changes_nothing(monkeypatch):
     assert coder.aligned(*args).to_pylist() == first == coder.aligned(*args).to_pylist()
 
 
+def test_a_chunk_that_recurs_is_aligned_once(monkeypatch):
+    import pyarrow as pa
+    given, real = [], alignment.joint_ends
+    monkeypatch.setattr(alignment, "joint_ends", lambda a, b: given.append(len(a)) or real(a, b))
+    coder = alignment.PairCoder(A, B)
+    words = pa.array(["so many words " * 500 + "end"])
+    first = coder.aligned(pa.array([1]), words, True).to_pylist()
+    monkeypatch.setattr(alignment, "KEPT", 200)
+    coder.chars = 300  # over the limit: the words met again and again are kept
+    assert coder.aligned(pa.array([1]), words, True).to_pylist() == first
+    assert first[0]["n_a"] > 1500 and sum(given) < 50
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 3), st.booleans(), st.booleans()), max_size=80))
 def test_diagonal_runs_find_every_joint_end(steps):
